@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from ontoweave.llm.chat import op6_chat
+from ontoweave.llm.secrets import op9_secrets
 from ontoweave.llm.simhash import op7_simhash
 
 QUERIES = {
+    "op6_chat": op6_chat,
     "op7_simhash": op7_simhash,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {}
