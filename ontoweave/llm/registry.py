@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from ontoweave.llm.chat import op6_chat
+from ontoweave.llm.packing import op5_packing
 from ontoweave.llm.secrets import op9_secrets
 from ontoweave.llm.simhash import op7_simhash
+from ontoweave.llm.warc import ORACLE_4, op4_warc
 
 QUERIES = {
+    "op4_warc": op4_warc,
+    "op5_packing": op5_packing,
     "op6_chat": op6_chat,
     "op7_simhash": op7_simhash,
     "op9_secrets": op9_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": ORACLE_4,
+}
