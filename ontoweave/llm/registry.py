@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from ontoweave.llm.chat import op6_chat
+from ontoweave.llm.decontaminate import op3_decontaminate
 from ontoweave.llm.packing import op5_packing
+from ontoweave.llm.quality import op1_quality
 from ontoweave.llm.secrets import op9_secrets
 from ontoweave.llm.simhash import op7_simhash
 from ontoweave.llm.warc import ORACLE_4, op4_warc
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_decontaminate": op3_decontaminate,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_chat": op6_chat,
