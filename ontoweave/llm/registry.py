@@ -5,6 +5,7 @@ from __future__ import annotations
 from ontoweave.llm.chat import op6_chat
 from ontoweave.llm.covertree import op10_covertree
 from ontoweave.llm.decontaminate import op3_decontaminate
+from ontoweave.llm.materialise import op8_training_order
 from ontoweave.llm.packing import op5_packing
 from ontoweave.llm.quality import op1_quality
 from ontoweave.llm.secrets import op9_secrets
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_chat": op6_chat,
     "op7_simhash": op7_simhash,
+    "op8_training_order": op8_training_order,
     "op9_secrets": op9_secrets,
     "op10_covertree": op10_covertree,
 }
