@@ -10,10 +10,12 @@ from ontoweave.llm.packing import op5_packing
 from ontoweave.llm.quality import op1_quality
 from ontoweave.llm.secrets import op9_secrets
 from ontoweave.llm.simhash import op7_simhash
+from ontoweave.llm.suffixes import op2_suffixes
 from ontoweave.llm.warc import ORACLE_4, op4_warc
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_suffixes": op2_suffixes,
     "op3_decontaminate": op3_decontaminate,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
