@@ -59,10 +59,21 @@ class KnowledgeGraph:
         self.triples = triples if triples is not None else spark.createDataFrame([], T.TRIPLE)
         self.axioms = list(axioms)
         self.axioms_in_triples = axioms_in_triples
+        self._kept: dict[tuple, DataFrame] = {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        """``make()``, unless it was made before from the same axioms and triples."""
+        key = (name, id(self.triples), tuple(self.axioms))
+        if key not in self._kept:
+            self._kept[key] = make()
+        return self._kept[key]
 
     # Axiom tables
     def pairs(self, kind: str) -> DataFrame:
         """Named arguments of a two-place axiom kind."""
+        return self._once(f"pairs {kind}", lambda: self._pairs(kind))
+
+    def _pairs(self, kind: str) -> DataFrame:
         predicate, (a, b) = PAIRS[kind]
         rows = sorted({(x[1], x[2]) for x in self.axioms if x[0] == kind and isinstance(x[1], str) and isinstance(x[2], str)})
         out = self.spark.createDataFrame(rows, f"{a} string, {b} string")
@@ -82,6 +93,12 @@ class KnowledgeGraph:
 
     def member_pairs(self, kind: str) -> DataFrame:
         """``(a, b)`` with a < b for every two members of one axiom."""
+        return self._once(f"member pairs {kind}", lambda: self._member_pairs(kind))
+
+    def _member_pairs(self, kind: str) -> DataFrame:
+        if not self.axioms_in_triples:
+            rows = sorted({(a, b) for x in self.axioms if x[0] == kind for a in x[1:] for b in x[1:] if isinstance(a, str) and isinstance(b, str) and a < b})
+            return self.spark.createDataFrame(rows, "a string, b string")
         m = self.members(kind)
         x, y = m.select("axiom_id", F.col("member").alias("a")), m.select("axiom_id", F.col("member").alias("b"))
         return x.join(y, "axiom_id").where("a < b").select("a", "b").distinct()
@@ -153,14 +170,14 @@ class KnowledgeGraph:
         return self.pairs("SubClassOf").union(eq).union(eq.select("b", "a")).distinct()
 
     def class_closure(self) -> DataFrame:
-        return closure(self.class_edges(), "sub", "sup")
+        return self._once("class closure", lambda: closure(self.class_edges(), "sub", "sup"))
 
     def property_edges(self) -> DataFrame:
         eq = self.member_pairs("EquivalentObjectProperties")
         return self.pairs("SubObjectPropertyOf").union(eq).union(eq.select("b", "a")).distinct()
 
     def property_closure(self) -> DataFrame:
-        return closure(self.property_edges(), "sub", "sup")
+        return self._once("property closure", lambda: closure(self.property_edges(), "sub", "sup"))
 
     def types(self) -> DataFrame:
         """``(x, cls)`` as asserted."""
