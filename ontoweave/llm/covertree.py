@@ -123,6 +123,7 @@ class Pair:
         self.sets = _Sets(n)
         for t in (a, b):
             if "unit" not in t:
+                t["raw"] = t["raw"].astype(np.float64)
                 t["norm"] = np.linalg.norm(t["raw"], axis=1)
                 t["unit"] = t["raw"] / t["norm"][:, None]
                 t["unit32"] = t["unit"].astype(np.float32)
@@ -149,15 +150,27 @@ class Pair:
     def _tile(self, level: int, x0: int, x1: int, y0: int, y1: int) -> None:
         """All children of one wide pair, by blocks of matrix products; rows are bounded in single precision first."""
         a, b = self.a, self.b
-        q = b["unit32"][b[f"centre{level}"][y0:y1]].T
-        widest = float(b[f"radius{level}"][y0:y1].max())
-        for at in range(x0, x1, 512):
-            rows = np.arange(at, min(at + 512, x1))
-            reach = np.minimum(self.eps + a[f"radius{level}"][rows] + widest, 2.0)
-            dots = a["unit32"][a[f"centre{level}"][rows]] @ q
-            u, v = np.nonzero(dots >= (1 - reach * reach / 2 - 1e-5).astype(np.float32)[:, None])
-            for k in range(0, len(u), CHUNK):
-                self._sift(level, rows[u[k : k + CHUNK]], y0 + v[k : k + CHUNK])
+        while level < self.p.levels and max(a[f"radius{level}"][x0:x1].max(), b[f"radius{level}"][y0:y1].max()) > 2 * self.eps:
+            # nodes this wide prune nothing; their children, hardly more, do
+            x, y = a[f"child{level}"], b[f"child{level}"]
+            x0, x1, y0, y1, level = x[x0, 0], x[x1 - 1, 1], y[y0, 0], y[y1 - 1, 1], level + 1
+        columns = y0 + np.argsort(b[f"radius{level}"][y0:y1], kind="stable")
+        radius = b[f"radius{level}"][columns]
+        single = int((radius == 0).sum())  # columns of like radius share a bound; most nodes are single vectors
+        cuts = [0, *([single] if single else []), *range(single + 128, len(columns), 128), len(columns)]
+        for c0, c1 in zip(cuts, cuts[1:]):
+            cols = columns[c0:c1]
+            if not len(cols):
+                continue
+            q = b["unit32"][b[f"centre{level}"][cols]].T
+            widest = float(radius[c1 - 1])
+            for at in range(x0, x1, 512):
+                rows = np.arange(at, min(at + 512, x1))
+                reach = np.minimum(self.eps + a[f"radius{level}"][rows] + widest, 2.0)
+                dots = a["unit32"][a[f"centre{level}"][rows]] @ q
+                u, v = np.nonzero(dots >= (1 - reach * reach / 2 - 1e-5).astype(np.float32)[:, None])
+                for k in range(0, len(u), CHUNK):
+                    self._sift(level, rows[u[k : k + CHUNK]], cols[v[k : k + CHUNK]])
 
     def _sift(self, level: int, x: np.ndarray, y: np.ndarray) -> None:
         """Prune, accept whole, or descend."""
@@ -291,7 +304,8 @@ def links(vectors: DataFrame, p: CoverTree = CoverTree()) -> tuple[DataFrame, Da
             mine = mine[np.argsort(ids[mine], kind="stable")]
             tree = build(raw[mine], p.levels)
             o = mine[tree.pop("order")]
-            blob = _dump(tree | {"ids": ids[o], "weight": weight[o], "raw": raw[o]})
+            single = raw[o].astype(np.float32)  # what came as single precision travels as such
+            blob = _dump(tree | {"ids": ids[o], "weight": weight[o], "raw": single if (single == raw[o]).all() else raw[o]})
             me = int(k)
             for other in range(blocks):
                 low, high = min(me, other), max(me, other)
