@@ -60,8 +60,11 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Template codes, slot types (0 none, else the placeholder), the words, and each code's word number."""
+def template(text: str, begins: bool = True) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Template codes, slot types (0 none, else the placeholder), the words, and each code's word number.
+
+    A capital makes a name unless the word begins a sentence, as the first one does if ``begins``.
+    """
     words = text.split()
     raw = np.fromiter(map(_CODES.__getitem__, words), dtype=np.uint64, count=len(words))
     at = np.flatnonzero(raw)
@@ -72,7 +75,7 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     slots = np.zeros(n, dtype=np.int8)
     if n:
         first = np.empty(n, dtype=bool)
-        first[0], first[1:] = True, (flags[:-1] & STOP) > 0
+        first[0], first[1:] = begins, (flags[:-1] & STOP) > 0
         after_number = np.zeros(n, dtype=bool)
         after_number[1:] = (flags[:-1] & NUM) > 0
         name = ((flags & CAP) > 0) & ~first
@@ -129,9 +132,13 @@ class Index:
             if len(codes) < p.least_item:
                 continue
             k = len(self.items)
-            self.items.append((item_id, slots, [words[i].strip(STRIP).lower() for i in at]))
-            for pos, h in enumerate(window_hashes(codes, slots, p.width, p.width // 2).tolist()):
-                if h:
+            # Inside a document the item need not begin a sentence; its first word may then look like a name.
+            inside, inside_slots, *_ = template(text, False)
+            self.items.append((item_id, np.maximum(slots, inside_slots), [words[i].strip(STRIP).lower() for i in at]))
+            first = window_hashes(codes, slots, p.width, p.width // 2).tolist()
+            other = window_hashes(inside, inside_slots, p.width, p.width // 2).tolist()
+            for pos, both in enumerate(zip(first, other)):
+                for h in set(both) - {0}:
                     self.where[h].append((k, pos))
         self.bits = np.zeros(1 << 20, dtype=bool)
         if self.where:
