@@ -29,6 +29,8 @@ NO_ID = np.iinfo(np.int64).max
 _PRIME = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
 SHARED, SMALLER, HOT = 1, 2, 4
+#: Bytes of text that are hashed at once; their arrays stay in the cache.
+SLICE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -97,16 +99,23 @@ def _slide(a: np.ndarray, w: int, f) -> np.ndarray:
     return f(a[: len(a) - (w - s)], a[w - s :]) if s < w else a
 
 
-def anchors(text: np.ndarray, p: Repeats) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: np.ndarray, ends: np.ndarray, p: Repeats) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the grams that are least in some string of ``width`` bytes of one document.
 
-    All least grams of a string are anchors, so equal strings have equal anchors.
+    ``ends`` are the documents' ends in the text. All least grams of a string are anchors, so equal
+    strings have equal anchors; strings that cross an end are none.
     """
     if len(text) < p.width:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    h = gram_hashes(text, p.gram)
+    h = gram_hashes(text, p.gram) | np.uint64(1)
     w = p.back + 1
     least = _slide(h, w, np.minimum)
+    n = len(least)
+    cross = np.zeros(n + 1, dtype=np.int32)
+    inner = ends[ends < len(text)]
+    np.add.at(cross, np.clip(inner - p.width + 1, 0, n), 1)
+    np.subtract.at(cross, np.minimum(inner, n), 1)
+    least[np.cumsum(cross[:-1]) > 0] = 0
     edge = np.zeros(w - 1, dtype=np.uint64)
     at = np.flatnonzero(h <= _slide(np.concatenate([edge, least, edge]), w, np.maximum))
     return at, h[at]
@@ -118,13 +127,17 @@ class Block:
     def __init__(self, ids: np.ndarray, ends: np.ndarray, text: np.ndarray, p: Repeats):
         self.ids, self.ends, self.text, self.p = ids, ends, text, p
         starts = np.concatenate([[0], ends[:-1]])
-        at, gram, doc = [], [], []
-        for d, (a, b) in enumerate(zip(starts, ends)):
-            x, h = anchors(text[a:b], p)
-            at.append(x + a), gram.append(h), doc.append(np.full(len(x), d, dtype=np.int32))
+        at, gram = [], []
+        first = 0
+        while first < len(ends):  # some documents at a time bound the memory
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE, side="right")))
+            a, b = starts[first], ends[last - 1]
+            x, h = anchors(text[a:b], ends[first:last] - a, p)
+            at.append(x + a), gram.append(h)
+            first = last
         self.at = np.concatenate(at) if at else np.empty(0, dtype=np.int64)
         self.gram = np.concatenate(gram) if gram else np.empty(0, dtype=np.uint64)
-        self.doc = np.concatenate(doc) if doc else np.empty(0, dtype=np.int32)
+        self.doc = np.searchsorted(ends, self.at, side="right").astype(np.int32)
         self.starts, self.padded = starts, None
         order = np.lexsort((ids[self.doc], self.gram))
         g, i = self.gram[order], ids[self.doc][order]
@@ -201,12 +214,12 @@ class Block:
         if self.padded is None:
             self.padded = np.concatenate([np.zeros(p.back, dtype=np.uint8), self.text, np.zeros(p.width, dtype=np.uint8)])
         padded = self.padded
-        body = padded[(at + p.back)[:, None] + np.arange(p.width)]
+        body = np.lib.stride_tricks.sliding_window_view(padded, p.width)[at + p.back]
         body[np.arange(p.width)[None, :] >= right[:, None]] = 0
         key[:, 4 : 4 + p.width], key[:, 4 + p.width] = body, right
         if with_left:
             left = np.minimum(at - self.starts[doc], p.back)
-            before = padded[(at + p.back - 1)[:, None] - np.arange(p.back)]
+            before = np.lib.stride_tricks.sliding_window_view(padded, p.back)[at][:, ::-1].copy()
             before[np.arange(p.back)[None, :] >= left[:, None]] = 0
             key[:, 5 + p.width : -1], key[:, -1] = before, left
             part = (gram >> np.uint64(17)) % np.uint64(parts)
@@ -399,21 +412,40 @@ def answer_runs(blobs: list[tuple[int, bytes]], p: Repeats) -> list[tuple[int, b
     key = np.concatenate([np.concatenate(befores), np.concatenate(lefts)[:, None]], axis=1)[source]
     by_left = np.argsort(np.ascontiguousarray(key).reshape(-1).view(f"S{p.back + 1}"), kind="stable")
     left_same = common(key[by_left][:, :-1], left[by_left])
-    mask = np.zeros(n, dtype=np.uint64)
+    # Equal whole contexts: all but one of the smallest document are repeats at every place.
+    before = np.concatenate([[-1], right[:-1].astype(np.int64)]) if n else np.empty(0, dtype=np.int64)
+    whole_right = np.cumsum((same != right) | (right != before))
+    whole_left = np.empty(n, dtype=np.int64)
+    ordered = left[by_left].astype(np.int64)
+    whole_left[by_left] = np.cumsum((left_same != ordered) | (ordered != np.concatenate([[-1], ordered[:-1]]))) if n else ordered
+    both = whole_right * np.int64(n + 1) + whole_left
+    whole = np.lexsort((doc, both))
+    fresh = np.concatenate([[True], both[whole][1:] != both[whole][:-1]]) if n else np.empty(0, dtype=bool)
+    leader = whole[np.flatnonzero(fresh)]
+    smallest = np.empty(n, dtype=np.int64)
+    smallest[whole] = doc[leader][np.cumsum(fresh) - 1] if n else doc
+    low, high = np.maximum(p.width - right.astype(np.int64), 0), np.minimum(left.astype(np.int64), p.back)
+    every = np.where(high >= low, (np.uint64(2) << high.astype(np.uint64)) - (np.uint64(1) << np.minimum(low, 63).astype(np.uint64)), np.uint64(0))
+    mask = np.where(doc > smallest, every, np.uint64(0))
     group_left = np.empty(n, dtype=np.int64)
+    l_left, l_right = left[leader], right[leader]
     for d in range(p.back + 1):
-        group = np.cumsum(same < p.width - d)
-        group_left[by_left] = np.cumsum(left_same < d) if d else 0
-        ok = np.flatnonzero((left >= d) & (right >= p.width - d))
+        ok = np.flatnonzero((l_left >= d) & (l_right >= p.width - d))
         if not len(ok):
             continue
+        ok = leader[ok]
+        group = np.cumsum(same < p.width - d)
+        group_left[by_left] = np.cumsum(left_same < d) if d else 0
         both = group[ok] * np.int64(n + 1) + group_left[ok]
         o = np.argsort(both)
         b, who = both[o], doc[ok][o]
         first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-        smallest = np.repeat(np.minimum.reduceat(who, first), np.diff(np.append(first, len(b))))
-        hit = ok[o[smallest < who]]
-        mask[hit] |= np.uint64(1) << np.uint64(d)
+        least = np.repeat(np.minimum.reduceat(who, first), np.diff(np.append(first, len(b))))
+        mask[ok[o[least < who]]] |= np.uint64(1) << np.uint64(d)
+    alike = doc == smallest  # further rows of the leader's own document have what it has
+    number = np.empty(n, dtype=np.int64)
+    number[whole] = np.cumsum(fresh) - 1
+    mask = np.where(alike, mask[leader][number] if n else mask, mask)
     out = np.empty(n, dtype=np.uint64)
     out[source] = mask
     return [(block, _pack(out[base[i] : base[i + 1]])) for i, (block, _) in enumerate(blobs)]
