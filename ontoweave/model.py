@@ -141,10 +141,22 @@ class KnowledgeGraph:
         """Triples per predicate (as many rows as the vocabulary has), for ordering patterns."""
         return {r["p"]: r["n"] for r in self.triples.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def query(self, text: str, prefixes: dict[str, str] | None = None, inference: bool = False, use_counts: bool = False) -> DataFrame:
-        """A SPARQL query's rows; with ``inference`` over the materialised graph."""
+    def query(self, text: str, prefixes: dict[str, str] | None = None, inference: bool = False, use_counts: bool = False, keep_order: bool = False) -> DataFrame:
+        """A SPARQL query's rows; with ``inference`` over the materialised graph.
+
+        Patterns are joined connected ones first, then by constants and (``use_counts``) by how rare
+        their predicates are, or with ``keep_order`` as they are written.
+        """
         graph = self.materialized() if inference else self
-        return Compiler(graph.triples, graph.predicate_counts if use_counts else None).run(parse(text, prefixes))
+        return Compiler(graph.triples, graph.predicate_counts if use_counts else None, keep_order).run(parse(text, prefixes))
+
+    def register(self, name: str = "kg") -> None:
+        """Temporary views for SQL: ``<name>_triples``, ``_types``, ``_edges``, ``_class_closure``, ``_inherited_types``."""
+        from ontoweave.plans.reason import inherited_types
+
+        views = {"triples": self.triples, "types": self.types(), "edges": self.edges(), "class_closure": self.class_closure(), "inherited_types": inherited_types(self)}
+        for view, df in views.items():
+            df.createOrReplaceTempView(f"{name}_{view}")
 
     def run(self, algebra) -> DataFrame:
         return Compiler(self.triples).run(algebra)

@@ -44,10 +44,10 @@ class Solutions:
 
 
 class Compiler:
-    """Patterns over one table of triples; ``closures`` gives the transitive closure of an edge table."""
+    """Patterns over one table of triples; ``counts`` of predicates and ``keep_order`` decide the order of joins."""
 
-    def __init__(self, triples: DataFrame, counts: dict[str, int] | None = None):
-        self.triples, self.counts = triples, counts or {}
+    def __init__(self, triples: DataFrame, counts: dict[str, int] | None = None, keep_order: bool = False):
+        self.triples, self.counts, self.keep_order = triples, counts or {}, keep_order
 
     def run(self, q) -> DataFrame:
         """The query's rows: one string column per selected variable, unbound as null; aggregates keep their type."""
@@ -63,11 +63,30 @@ class Compiler:
         todo, out = list(q.patterns), None
         while todo:
             known = out.names if out else frozenset()
-            todo.sort(key=lambda p: self._rank(p, known))
-            one = self.pattern(todo.pop(0))
+            if not self.keep_order:
+                todo.sort(key=lambda p: self._rank(p, known))
+            p = todo.pop(0)
+            if out is not None and self._may_stay(p, out):
+                out = self._step_or_stay(out, p)
+                continue
+            one = self.pattern(p)
             out = one if out is None else self.join(out, one)
         return out
 
+    @staticmethod
+    def _may_stay(p: A.Pattern, out: Solutions) -> bool:
+        """Whether a path of no step starts from known nodes only, and ends in a new variable."""
+        known = isinstance(p.s, A.Var) and p.s.name in out.sure and p.s.name in out.resources
+        return isinstance(p.p, A.Star | A.Maybe) and known and isinstance(p.o, A.Var) and p.o.name not in out.names
+
+    def _step_or_stay(self, out: Solutions, p: A.Pattern) -> Solutions:
+        """The rows with a step, and all rows with the end at the start: no list of all nodes is needed."""
+        steps = self.path(A.Plus(p.p.path) if isinstance(p.p, A.Star) else p.p.path)
+        steps = steps.where("s <> o OR o_kind = 'lit'").distinct()
+        moved = self.join(out, self._bind(steps, p))
+        stayed = out.df.withColumns({b: F.col(a) for a, b in zip(cols(p.s.name), cols(p.o.name))})
+        return Solutions(moved.df.unionByName(stayed), moved.sure, moved.maybe, out.resources)
+
     def _rank(self, p: A.Pattern, known: frozenset[str]) -> tuple:
         """Connected patterns first, then those with more constants, then rarer predicates."""
         constants = sum(isinstance(t, A.Iri | A.Lit) for t in (p.s, p.o))

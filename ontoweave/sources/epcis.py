@@ -136,12 +136,13 @@ def biz_steps(events: DataFrame) -> DataFrame:
     return events.where("biz_step IS NOT NULL").select("biz_step").distinct().orderBy("biz_step")
 
 
-def trace(events: DataFrame, epc: str) -> DataFrame:
-    """The events of one item in order of time, each with the step before."""
+def trace(events: DataFrame, epc: str | None = None) -> DataFrame:
+    """The events of one item, or of each, in order of time, each with the step before."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("epc").orderBy("event_time", "event_id")
-    own = events.where(F.array_contains("epcs", epc)).select(F.lit(epc).alias("epc"), "event_id", "event_time", "biz_step")
+    own = events.select(F.explode("epcs").alias("epc"), "event_id", "event_time", "biz_step")
+    own = own if epc is None else own.where(F.col("epc") == epc)
     return own.select("epc", F.row_number().over(w).alias("position"), "event_id", "event_time", "biz_step", F.lag("biz_step").over(w).alias("previous_step"))
 
 
