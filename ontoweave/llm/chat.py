@@ -164,3 +164,17 @@ def op6_chat(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(ADDED, 0, "user", ADDED_TEXT), (ADDED, 1, "assistant", ADDED_TEXT)], "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(rows.unionByName(added)))
+
+
+ORACLE_6 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+        15 + length(role) + length(text) + length(role || text) - length(replace(role || text, '\', ''))
+        + (length(role || ' ' || text) - length(replace(role || ' ' || text, '</turn>', ''))) // 7
+        + length(role) - length(replace(role, chr(10), ''))
+        + coalesce(list_sum(list_transform(regexp_extract_all(role || ' ' || text, '#{3,}'), lambda x: length(x) - 2)), 0) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(length(loss))::BIGINT AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""

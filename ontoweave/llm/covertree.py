@@ -373,3 +373,16 @@ def near_duplicates(vectors: DataFrame, p: CoverTree = CoverTree(), id_col: str
 def op10_covertree(spark, sf_dir: str) -> DataFrame:
     """All embeddings at cosine 0.9 or more."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_10 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+r AS (SELECT u, w FROM l UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u),
+c AS (SELECT u, least(u, min(w)) AS component_id FROM r GROUP BY u),
+k AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN k ON k.u = vec_id LEFT JOIN c ON c.u = vec_id
+"""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ontoweave.llm.chat import op6_chat
-from ontoweave.llm.covertree import op10_covertree
+from ontoweave.llm.chat import ORACLE_6, op6_chat
+from ontoweave.llm.covertree import ORACLE_10, op10_covertree
 from ontoweave.llm.decontaminate import op3_decontaminate
 from ontoweave.llm.materialise import op8_training_order
 from ontoweave.llm.packing import op5_packing
@@ -28,4 +28,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_warc": ORACLE_4,
+    "op6_chat": ORACLE_6,
+    "op10_covertree": ORACLE_10,
 }
