@@ -59,14 +59,14 @@ class KnowledgeGraph:
         self.triples = triples if triples is not None else spark.createDataFrame([], T.TRIPLE)
         self.axioms = list(axioms)
         self.axioms_in_triples = axioms_in_triples
-        self._kept: dict[tuple, DataFrame] = {}
+        self._kept: dict[tuple, tuple] = {}
 
     def _once(self, name: str, make) -> DataFrame:
         """``make()``, unless it was made before from the same axioms and triples."""
-        key = (name, id(self.triples), tuple(self.axioms))
-        if key not in self._kept:
-            self._kept[key] = make()
-        return self._kept[key]
+        key, triples = (name, tuple(self.axioms)), self.triples if self.axioms_in_triples else None
+        if key not in self._kept or self._kept[key][0] is not triples:
+            self._kept[key] = (triples, make())
+        return self._kept[key][1]
 
     # Axiom tables
     def pairs(self, kind: str) -> DataFrame:
@@ -148,7 +148,12 @@ class KnowledgeGraph:
         their predicates are, or with ``keep_order`` as they are written.
         """
         graph = self.materialized() if inference else self
-        return Compiler(graph.triples, graph.predicate_counts if use_counts else None, keep_order).run(parse(text, prefixes))
+        q = parse(text, prefixes)
+        return Compiler(graph.source(q), graph.predicate_counts if use_counts else None, keep_order).run(q)
+
+    def source(self, algebra) -> DataFrame:
+        """The triples that a query needs; here all of them."""
+        return self.triples
 
     def register(self, name: str = "kg") -> None:
         """Temporary views for SQL: ``<name>_triples``, ``_types``, ``_edges``, ``_class_closure``, ``_inherited_types``."""
@@ -159,7 +164,7 @@ class KnowledgeGraph:
             df.createOrReplaceTempView(f"{name}_{view}")
 
     def run(self, algebra) -> DataFrame:
-        return Compiler(self.triples).run(algebra)
+        return Compiler(self.source(algebra)).run(algebra)
 
     def explain(self, text: str, prefixes: dict[str, str] | None = None, mode: str = "formatted") -> str:
         """Spark's plan of a query, with cost estimates in mode ``cost``."""

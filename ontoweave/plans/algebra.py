@@ -243,3 +243,31 @@ def variables(x: Any) -> list[str]:
         case _:
             out = variables(x.child)
     return list(dict.fromkeys(out))
+
+
+def predicates_of(x: Any) -> set[str] | None:
+    """All predicates that a query can touch; None if it may touch any."""
+    if isinstance(x, Pattern):
+        if isinstance(x.p, Var):
+            return None
+        return {x.p.value} if isinstance(x.p, Iri) else _path_predicates(x.p)
+    parts = [p for name in ("patterns", "branches") for p in getattr(x, name, ())] + [getattr(x, n) for n in ("left", "right", "child", "pattern") if hasattr(x, n)]
+    out: set[str] = set()
+    for p in parts:
+        found = predicates_of(p)
+        if found is None:
+            return None
+        out |= found
+    return out
+
+
+def _path_predicates(path: Any) -> set[str] | None:
+    match path:
+        case Link(iri):
+            return {iri}
+        case Inverse(inner) | Plus(inner):
+            return _path_predicates(inner)
+        case Seq(left, right) | Alt(left, right):
+            a, b = _path_predicates(left), _path_predicates(right)
+            return None if a is None or b is None else a | b
+    return None  # a path of no step may touch any node

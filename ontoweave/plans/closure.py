@@ -7,10 +7,10 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoweave.plans.storage import discard, materialize
+from ontoweave.plans.storage import materialize
 
-#: Distinct edges up to which (and nodes whose closure then is at most their square) the driver does the work.
-DRIVER_EDGES = 2_000
+#: Distinct edges up to which the driver does the work; the closure then has 250,000 pairs at most.
+DRIVER_EDGES = 500
 
 
 def closure(edges: DataFrame, src: str, dst: str, driver_edges: int = DRIVER_EDGES) -> DataFrame:
@@ -26,18 +26,15 @@ def closure(edges: DataFrame, src: str, dst: str, driver_edges: int = DRIVER_EDG
     if len(few) <= driver_edges:
         pairs = closure_of([(r["a"], r["b"]) for r in few])
         return spark.createDataFrame(pairs, base.schema).select(F.col("a").alias(src), F.col("b").alias(dst))
-    known = new = materialize(base, "closure")
+    known = new = materialize(base, "closure")  # a union of what each round added; nothing is written twice
+    first = True
     while not new.isEmpty():
         a, b = new.select("a", F.col("b").alias("m")), known.select(F.col("a").alias("m"), "b")
         step = a.join(b, "m").select("a", "b")
-        if new is not known:
+        if not first:
             step = step.union(known.select("a", F.col("b").alias("m")).join(new.select(F.col("a").alias("m"), "b"), "m").select("a", "b"))
-        fresh = materialize(step.distinct().join(known, ["a", "b"], "left_anti"), "closure-new")
-        grown = materialize(known.union(fresh), "closure")
-        if new is not known:
-            discard(new)
-        discard(known)
-        known, new = grown, fresh
+        new = materialize(step.distinct().join(known, ["a", "b"], "left_anti"), "closure")
+        known, first = known.union(new), False
     return known.select(F.col("a").alias(src), F.col("b").alias(dst))
 
 

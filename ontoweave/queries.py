@@ -42,13 +42,13 @@ def query(name: str, oracle: str | None = None):
 def graph(spark: SparkSession, sf_dir: str, *names: str) -> KnowledgeGraph:
     """The mapped graph; only the named predicates' branches, where given."""
     only = [T.TYPE if n == "a" else V + n for n in names] or None
-    return KnowledgeGraph(spark, relational.triples(spark, sf_dir, only), relational.tbox())
+    return relational.MappedGraph(spark, sf_dir, only, relational.tbox())
 
 
 def typed_graph(spark: SparkSession, sf_dir: str) -> KnowledgeGraph:
     """The mapped types, with the classes of parts that the data has."""
     types = sorted(r[0] for r in table(spark, sf_dir, "part").select(F.initcap(F.lower("p_type"))).distinct().collect())
-    return KnowledgeGraph(spark, relational.triples(spark, sf_dir, [T.TYPE]), relational.tbox(types))
+    return relational.MappedGraph(spark, sf_dir, [T.TYPE], relational.tbox(types))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,12 +7,15 @@ only the columns that its own branch needs.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoweave.functions import terms as T
+from ontoweave.model import KnowledgeGraph
+from ontoweave.plans.algebra import predicates_of
 
 D, V = "http://example.org/d/", "http://example.org/v/"
 
@@ -84,20 +87,59 @@ def _path(table: str) -> str:
     return {"orders": "order", "events": "event", "documents": "document"}.get(table, table)
 
 
-def triples(spark: SparkSession, sf_dir: str, predicates: list[str] | None = None) -> DataFrame:
+def triples(spark: SparkSession, sf_dir: str, predicates: Iterable[str] | None = None) -> DataFrame:
     """All branches, or those of the given predicates, as one lazy table of triples (a set, as in RDF)."""
-    out, tables = None, {}
+    tables: dict[str, DataFrame] = {}
+    parts = []
     for b in branches():
         if predicates is not None and b.predicate not in predicates:
             continue
-        kind = F.lit("iri" if b.datatype is None else "lit")
         if b.table not in tables:  # one look at the files per table
             tables[b.table] = spark.read.parquet(f"{sf_dir}/{b.table}.parquet")
+        kind = F.lit("iri" if b.datatype is None else "lit")
         one = tables[b.table].select(b.subject.alias("s"), F.lit(b.predicate).alias("p"), b.object.alias("o"), kind.alias("o_kind"), F.lit(b.datatype).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
         one = one.where("s IS NOT NULL AND o IS NOT NULL")
-        one = one.distinct() if b.repeats else one
-        out = one if out is None else out.unionAll(one)
-    return out
+        parts.append(one.distinct() if b.repeats else one)
+    if not parts:
+        return spark.createDataFrame([], T.TRIPLE)
+    while len(parts) > 1:  # in pairs, since every union is analysed as it is made
+        parts = [parts[i].unionAll(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+class MappedGraph(KnowledgeGraph):
+    """The tables as a graph. A query makes only the branches of the predicates that it names."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, predicates: Iterable[str] | None = None, axioms: list[tuple] = ()):
+        self.sf_dir, self.predicates = sf_dir, None if predicates is None else set(predicates)
+        self._triples: DataFrame | None = None
+        super().__init__(spark, self, axioms)
+
+    @property
+    def triples(self) -> DataFrame:
+        if self._triples is None:
+            self._triples = triples(self.spark, self.sf_dir, self.predicates)
+        return self._triples
+
+    @triples.setter
+    def triples(self, given) -> None:
+        self._triples = None if given is self else given
+
+    def source(self, algebra) -> DataFrame:
+        named = predicates_of(algebra)
+        if named is None or self._triples is not None:
+            return self.triples
+        return triples(self.spark, self.sf_dir, named if self.predicates is None else named & self.predicates)
+
+    def edges(self, prop: str | None = None) -> DataFrame:
+        if prop is None or self._triples is not None:
+            return super().edges(prop)
+        return triples(self.spark, self.sf_dir, {prop}).where("o_kind <> 'lit'").select("s", "p", "o")
+
+    def types(self) -> DataFrame:
+        if self._triples is not None:
+            return super().types()
+        return triples(self.spark, self.sf_dir, {T.TYPE}).select(F.col("s").alias("x"), F.col("o").alias("cls"))
 
 
 SEGMENTS = ("Automobile", "Building", "Furniture", "Household", "Machinery")
