@@ -200,6 +200,10 @@ class KnowledgeGraph:
         """``(x, cls)`` as asserted."""
         return self.triples.where((F.col("p") == T.TYPE) & (F.col("o_kind") != "lit")).select(F.col("s").alias("x"), F.col("o").alias("cls"))
 
+    def types_of(self, classes: list[str]) -> DataFrame:
+        """``(x, cls)`` as asserted, of the given classes only."""
+        return self.types().where(F.col("cls").isin(classes))
+
     def edges(self, prop: str | None = None) -> DataFrame:
         """``(s, p, o)`` between resources, without types."""
         t = self.triples.where((F.col("o_kind") != "lit") & (F.col("p") != T.TYPE))

@@ -271,3 +271,23 @@ def _path_predicates(path: Any) -> set[str] | None:
             a, b = _path_predicates(left), _path_predicates(right)
             return None if a is None or b is None else a | b
     return None  # a path of no step may touch any node
+
+
+TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+
+
+def classes_of(x: Any) -> set[str] | None:
+    """The classes that a query's type patterns name; None if one is a variable or inside a path."""
+    if isinstance(x, Pattern):
+        if isinstance(x.p, Iri):
+            return set() if x.p.value != TYPE else {x.o.value} if isinstance(x.o, Iri) else None
+        found = None if isinstance(x.p, Var) else _path_predicates(x.p)
+        return None if found is None or TYPE in found else set()
+    parts = [p for name in ("patterns", "branches") for p in getattr(x, name, ())] + [getattr(x, n) for n in ("left", "right", "child", "pattern") if hasattr(x, n)]
+    out: set[str] = set()
+    for p in parts:
+        found = classes_of(p)
+        if found is None:
+            return None
+        out |= found
+    return out

@@ -104,13 +104,19 @@ def inherited_types(kg) -> DataFrame:
     return t.union(up).distinct()
 
 
+def inherited_types_of(kg, classes: list[str]) -> DataFrame:
+    """``(x, cls)`` with ``cls`` one of ``classes``, asserted or inherited; only classes below them are looked up."""
+    below = kg.class_closure().where(F.col("sup").isin(classes) & (F.col("sub") != F.col("sup"))).select(F.col("sub").alias("cls"), "sup")
+    below = below.union(kg.spark.createDataFrame([(c, c) for c in classes], "cls string, sup string"))
+    names = [r["cls"] for r in below.select("cls").distinct().collect()]  # a part of the vocabulary
+    return kg.types_of(names).join(below, "cls").select("x", F.col("sup").alias("cls")).distinct()
+
+
 def instances(kg, cls: str, inherited: bool = True) -> DataFrame:
     """``(x)``: only the classes below ``cls`` are looked up."""
-    t = kg.types()
     if not inherited:
-        return t.where(F.col("cls") == cls).select("x").distinct()
-    below = subclasses(kg, cls).select(F.col("sub").alias("cls")).union(kg.spark.createDataFrame([(cls,)], "cls string"))
-    return t.join(below, "cls", "left_semi").select("x").distinct()
+        return kg.types_of([cls]).select("x").distinct()
+    return inherited_types_of(kg, [cls]).select("x")
 
 
 # Materialisation
@@ -291,9 +297,11 @@ def clashes(kg, edges: DataFrame | None = None, types: DataFrame | None = None)
     return _union(parts).distinct()
 
 
-def disjoint_type_clashes(kg, types: DataFrame) -> DataFrame:
-    """``(x, a, b)``: individuals of two classes declared disjoint."""
+def disjoint_type_clashes(kg, types: DataFrame | None = None) -> DataFrame:
+    """``(x, a, b)``: individuals of two classes declared disjoint; by default asserted or inherited."""
     d = kg.member_pairs("DisjointClasses")
+    if types is None:
+        types = inherited_types_of(kg, sorted({c for r in d.collect() for c in r}))
     return types.select("x", F.col("cls").alias("a")).join(d, "a").join(types.select("x", F.col("cls").alias("b")), ["x", "b"]).select("x", "a", "b").distinct()
 
 

@@ -765,7 +765,7 @@ def _(spark, sf_dir):
 @query("R43_disjoint_clash", "SELECT '{D}document/'||doc_id AS x, '{V}HighQuality' AS a, '{V}Toxic' AS b FROM labels WHERE quality = 1 AND toxic = 1")
 def _(spark, sf_dir):
     g = graph(spark, sf_dir, "a")
-    return R.disjoint_type_clashes(g, R.inherited_types(g))
+    return R.disjoint_type_clashes(g)
 
 
 _TBOX = [("SubClassOf", "A", "B"), ("SubClassOf", "B", ("some", "p", "C")), ("DisjointClasses", "C", "D"), ("SubClassOf", "E", ("and", "A", ("only", "p", "D"))), ("EquivalentClasses", "F", ("or", "A", "E"))]
@@ -810,7 +810,7 @@ def _(spark, sf_dir):
 @query("R50_parallel_consistency", "SELECT count(*) AS clashes FROM labels WHERE quality = 1 AND toxic = 1")
 def _(spark, sf_dir):
     g = graph(spark, sf_dir, "a")
-    return R.disjoint_type_clashes(g, R.inherited_types(g)).agg(F.count(F.lit(1)).alias("clashes"))
+    return R.disjoint_type_clashes(g).agg(F.count(F.lit(1)).alias("clashes"))
 
 
 @query("R51_property_chain", "SELECT '{D}customer/'||c_custkey AS s, '{D}region/'||n_regionkey AS o FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT '{D}supplier/'||s_suppkey, '{D}region/'||n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -882,7 +882,7 @@ def _(spark, sf_dir):
 @query("L5_explanation_cap", "SELECT 'disjoint_types' AS kind, '{D}document/'||doc_id AS subject FROM labels WHERE quality = 1 AND toxic = 1 ORDER BY subject LIMIT 10")
 def _(spark, sf_dir):
     g = graph(spark, sf_dir, "a")
-    found = R.disjoint_type_clashes(g, R.inherited_types(g)).select(F.lit("disjoint_types").alias("kind"), F.col("x").alias("subject"), F.concat_ws(" ", "a", "b").alias("detail"))
+    found = R.disjoint_type_clashes(g).select(F.lit("disjoint_types").alias("kind"), F.col("x").alias("subject"), F.concat_ws(" ", "a", "b").alias("detail"))
     return R.minimal_explanations(found).select("kind", "subject")
 
 

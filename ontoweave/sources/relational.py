@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ontoweave.functions import terms as T
 from ontoweave.model import KnowledgeGraph
-from ontoweave.plans.algebra import predicates_of
+from ontoweave.plans.algebra import classes_of, predicates_of
 
 D, V = "http://example.org/d/", "http://example.org/v/"
 
@@ -30,6 +30,11 @@ class Branch:
     object: Column
     datatype: str | None = None
     repeats: bool = False  # several rows may give one triple
+    classes: tuple[str, ...] = ()  # of a type: the only classes, or with a leading *, what they end in
+
+    def may_type(self, classes: set[str]) -> bool:
+        """Whether the branch can have one of the classes as its object."""
+        return any(c.endswith(k[1:]) if k[0] == "*" else c == k for k in self.classes for c in classes)
 
 
 def node(table: str, *keys: str) -> Column:
@@ -47,14 +52,14 @@ def branches() -> list[Branch]:
     line = node("lineitem", "l_orderkey", "l_linenumber")
     out = []
     for table, key, name in (("region", "r_regionkey", "Region"), ("nation", "n_nationkey", "Nation"), ("customer", "c_custkey", "Customer"), ("supplier", "s_suppkey", "Supplier"), ("part", "p_partkey", "Part"), ("orders", "o_orderkey", "Order"), ("events", "event_id", "Event"), ("documents", "doc_id", "Document")):
-        out.append(Branch(table, one(_path(table), key), T.TYPE, cls(name)))
+        out.append(Branch(table, one(_path(table), key), T.TYPE, cls(name), classes=(V + name,)))
     out += [
-        Branch("lineitem", line, T.TYPE, cls("LineItem"), repeats=True),
-        Branch("customer", one("customer", "c_custkey"), T.TYPE, _kind("c_mktsegment", "Customer")),
-        Branch("part", one("part", "p_partkey"), T.TYPE, _kind("p_type", "Part")),
-        Branch("events", one("event", "event_id"), T.TYPE, _kind("event_type", "Event")),
-        Branch("labels", one("document", "doc_id"), T.TYPE, F.when(F.col("quality") == 1, V + "HighQuality")),
-        Branch("labels", one("document", "doc_id"), T.TYPE, F.when(F.col("toxic") == 1, V + "Toxic")),
+        Branch("lineitem", line, T.TYPE, cls("LineItem"), repeats=True, classes=(V + "LineItem",)),
+        Branch("customer", one("customer", "c_custkey"), T.TYPE, _kind("c_mktsegment", "Customer"), classes=("*Customer",)),
+        Branch("part", one("part", "p_partkey"), T.TYPE, _kind("p_type", "Part"), classes=("*Part",)),
+        Branch("events", one("event", "event_id"), T.TYPE, _kind("event_type", "Event"), classes=("*Event",)),
+        Branch("labels", one("document", "doc_id"), T.TYPE, F.when(F.col("quality") == 1, V + "HighQuality"), classes=(V + "HighQuality",)),
+        Branch("labels", one("document", "doc_id"), T.TYPE, F.when(F.col("toxic") == 1, V + "Toxic"), classes=(V + "Toxic",)),
         Branch("nation", one("nation", "n_nationkey"), V + "inRegion", one("region", "n_regionkey")),
         Branch("customer", one("customer", "c_custkey"), V + "inNation", one("nation", "c_nationkey")),
         Branch("supplier", one("supplier", "s_suppkey"), V + "inNation", one("nation", "s_nationkey")),
@@ -87,13 +92,18 @@ def _path(table: str) -> str:
     return {"orders": "order", "events": "event", "documents": "document"}.get(table, table)
 
 
-def triples(spark: SparkSession, sf_dir: str, predicates: Iterable[str] | None = None) -> DataFrame:
-    """All branches, or those of the given predicates, as one lazy table of triples (a set, as in RDF)."""
+def triples(spark: SparkSession, sf_dir: str, predicates: Iterable[str] | None = None, classes: set[str] | None = None) -> DataFrame:
+    """All branches as one lazy table of triples (a set, as in RDF).
+
+    ``predicates`` keeps their branches only; ``classes`` those type branches that can have them.
+    """
     tables: dict[str, DataFrame] = {}
     parts = []
     for b in branches():
         if predicates is not None and b.predicate not in predicates:
             continue
+        if classes is not None and b.predicate == T.TYPE and not b.may_type(classes):
+            continue
         if b.table not in tables:  # one look at the files per table
             tables[b.table] = spark.read.parquet(f"{sf_dir}/{b.table}.parquet")
         kind = F.lit("iri" if b.datatype is None else "lit")
@@ -129,7 +139,7 @@ class MappedGraph(KnowledgeGraph):
         named = predicates_of(algebra)
         if named is None or self._triples is not None:
             return self.triples
-        return triples(self.spark, self.sf_dir, named if self.predicates is None else named & self.predicates)
+        return triples(self.spark, self.sf_dir, named if self.predicates is None else named & self.predicates, classes_of(algebra))
 
     def edges(self, prop: str | None = None) -> DataFrame:
         if prop is None or self._triples is not None:
@@ -141,6 +151,12 @@ class MappedGraph(KnowledgeGraph):
             return super().types()
         return triples(self.spark, self.sf_dir, {T.TYPE}).select(F.col("s").alias("x"), F.col("o").alias("cls"))
 
+    def types_of(self, classes: list[str]) -> DataFrame:
+        if self._triples is not None:
+            return super().types_of(classes)
+        t = triples(self.spark, self.sf_dir, {T.TYPE}, set(classes))
+        return t.where(F.col("o").isin(classes)).select(F.col("s").alias("x"), F.col("o").alias("cls"))
+
 
 SEGMENTS = ("Automobile", "Building", "Furniture", "Household", "Machinery")
 EVENT_TYPES = ("Click", "Error", "Purchase", "Signup", "View")
