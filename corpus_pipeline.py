@@ -10,7 +10,7 @@ from ontoweave.llm.decontaminate import drop_leaking
 from ontoweave.llm.packing import pack
 from ontoweave.llm.quality import resample
 from ontoweave.llm.secrets import redact_documents
-from ontoweave.llm.simhash import near_duplicates
+from ontoweave.llm.shingles import similar_documents
 from ontoweave.plans.storage import discard, materialize
 
 
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the document with the smallest doc_id stays.
+    """Of each group of documents that 5-word similarities of 0.8 or more connect the one with the smallest doc_id stays.
 
     Repeated rows of one doc_id count as one document; rows without doc_id are told apart by text and
     yield to any document with one.
@@ -28,7 +28,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     text = F.coalesce(F.col("text"), F.lit(""))
     surrogate = F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1))
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), surrogate))
-    kept = near_duplicates(keyed, id_col="_key").where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    kept = similar_documents(keyed, id_col="_key").where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
