@@ -108,10 +108,10 @@ class Decontamination:
 
     width: words of a template window. coverage, run: a document leaks an item if, near one place,
     matched windows cover this share of the item's words, or this many words without a break.
-    consistency: share of the aligned slots that must follow one mapping of values. least_item:
-    items with fewer words are too common to be told from prose and never match. block_words:
-    benchmark words that are sent to the executors at once; a larger benchmark goes in blocks, each
-    against all documents.
+    consistency: share of the aligned slots that must follow one mapping of values, in a cluster of
+    windows or in one copy of the item there. least_item: items with fewer words are too common to
+    be told from prose and never match. block_words: benchmark words that are sent to the executors
+    at once; a larger benchmark goes in blocks, each against all documents.
     """
 
     width: int = 5
@@ -168,6 +168,20 @@ class Index:
         return [out[k] for k in sorted(out, key=lambda k: (k is None, k))]
 
     def _leak(self, found, size, item_slots, item_words, slots, words, at):
+        """The cluster's best leak: of the whole cluster, or else of one copy in it."""
+        whole = self._judge(found, size, item_slots, item_words, words, at)
+        if whole is None or whole[-1]:
+            return whole and whole[0]
+        # Copies side by side, or windows that repeat in the item, mix alignments: each copy by itself.
+        best = None
+        for copy in _copies(found, size):
+            one = self._judge(copy, size, item_slots, item_words, words, at)
+            if one and one[-1] and (best is None or one[0][1:3] > best[1:3]):
+                best = one[0]
+        return best
+
+    def _judge(self, found, size, item_slots, item_words, words, at):
+        """The leak that the windows make, and whether its slots are consistent; None if too little is covered."""
         p, covered, pairs = self.p, np.zeros(size, dtype=bool), set()
         runs: dict[int, tuple[int, int]] = {}
         longest = 0
@@ -187,9 +201,31 @@ class Index:
             maps[item_slots[pos], item_words[pos]][value] += 1
             same &= value == item_words[pos]
         agreed = sum(max(c.values()) for c in maps.values())
-        if pairs and agreed < p.consistency * len(pairs):
-            return None
-        return None, share, longest, len(pairs), agreed, same, int(at[found[0][0]]), int(at[max(d for d, _ in found) + p.width - 1])
+        leak = (None, share, longest, len(pairs), agreed, same, int(at[found[0][0]]), int(at[max(d for d, _ in found) + p.width - 1]))
+        return leak, not pairs or same or agreed >= p.consistency * len(pairs)
+
+
+def _copies(found: list[tuple[int, int]], size: int):
+    """The windows of each copy of an item: every diagonal, then chains that go forward in both texts.
+
+    A window goes on with the chain of the nearest diagonal, the longest of equals, so a copy with
+    words put in or left out is one chain; a chain ends where no window follows within the item's size.
+    """
+    by = defaultdict(list)
+    for d, pos in found:
+        by[d - pos].append((d, pos))
+    yield from by.values()
+    open_chains: list[list[tuple[int, int]]] = []
+    for d, pos in found:
+        ended = [c for c in open_chains if d - c[-1][0] > size]
+        yield from ended
+        open_chains = [c for c in open_chains if d - c[-1][0] <= size]
+        before = [c for c in open_chains if c[-1][0] < d and c[-1][1] < pos]
+        if before:
+            min(before, key=lambda c: (abs(d - pos - c[-1][0] + c[-1][1]), -len(c))).append((d, pos))
+        else:
+            open_chains.append([(d, pos)])
+    yield from open_chains
 
 
 WORD = re.compile(r"\S+")
