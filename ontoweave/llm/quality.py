@@ -7,6 +7,7 @@ drawn by Gumbel top-k: a keyed Gumbel noise is added to every weight and the k l
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from ontoweave.llm.common import slices, table
 from ontoweave.plans.storage import discard, materialize
 
+#: Letters of a word's beginning that stand for all its forms.
+STEM = 5
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Counts travel in chunks of this many buckets.
 CHUNK = 1 << 13
@@ -29,10 +32,12 @@ CHUNK = 1 << 13
 class Resampling:
     """Parameters.
 
-    buckets: size of both models, whatever the corpus. orders: n-grams counted, once a document.
+    buckets: size of both models for each kind of feature, whatever the corpus. orders: n-grams
+    counted, once a document, besides the beginnings of words.
     max_target: labelled good documents that the target model is fitted on at most, those with the
-    smallest hash of doc_id, which bounds what is sent to the executors. prior: documents added to both counts of a bucket. significance: standard
-    errors by which a bucket's counts must differ to have a ratio other than one. cutoff: documents
+    smallest hash of doc_id, which bounds what is sent to the executors. prior: documents added to
+    both counts of a bucket. significance: standard errors by which a bucket's counts must differ to
+    have a ratio other than one, and the chance that goes with them where few are expected. cutoff: documents
     with at least this log weight make up k. temperature: scale of the Gumbel noise.
     """
 
@@ -45,6 +50,21 @@ class Resampling:
     temperature: float = 0.1
     seed: int = 11
 
+    @property
+    def size(self) -> int:
+        """Buckets of a model: a part for each order, then one for the beginnings of words."""
+        return self.buckets * (len(self.orders) + 1)
+
+
+class _Stems(dict):
+    """64-bit hashes of words' beginnings, forgotten when there are many."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w[:STEM], 1)
+        return h
+
 
 class _Hashes(dict):
     """64-bit hashes of words, forgotten when there are many."""
@@ -56,15 +76,19 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
+_HASHES, _STEMS = _Hashes(), _Stems()
 
 
 def grams(text: str, buckets: int, orders: tuple[int, ...]) -> np.ndarray:
-    """The distinct buckets of a text's n-grams: words and runs of other signs, lower-cased."""
+    """The distinct buckets of a text's n-grams and of its words' beginnings: words and runs of other signs, lower-cased.
+
+    Every order has buckets of its own, so the many rare pairs don't blur the counts of words; the
+    beginnings pool the rare forms of a word.
+    """
     words = TOKEN.findall(text.lower())
     h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
     out = []
-    for n in orders:
+    for i, n in enumerate(orders):
         if len(h) < n:
             continue
         g = h[: len(h) - n + 1].copy()
@@ -72,21 +96,25 @@ def grams(text: str, buckets: int, orders: tuple[int, ...]) -> np.ndarray:
             g = g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
         g ^= np.uint64(n)
         g *= np.uint64(0xD6E8FEB86659FD93)
-        out.append((g >> np.uint64(32)) % np.uint64(buckets))
+        out.append((g >> np.uint64(32)) % np.uint64(buckets) + np.uint64(i * buckets))
+    if words:
+        distinct = set(words)
+        g = np.fromiter(map(_STEMS.__getitem__, distinct), dtype=np.uint64, count=len(distinct))
+        out.append((g >> np.uint64(32)) % np.uint64(buckets) + np.uint64(len(orders) * buckets))
     return np.unique(np.concatenate(out)).astype(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
 def count_grams(docs: DataFrame, good: np.ndarray, p: Resampling, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Documents that hold each bucket, for all documents and for the good ones, and both totals.
 
-    Counts are summed within each task, shuffled as chunks and come to the driver as 2 * buckets
+    Counts are summed within each task, shuffled as chunks and come to the driver as 2 * size
     numbers in all.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chunks = p.buckets // CHUNK
+    chunks = p.size // CHUNK
 
     def run(batches):
-        raw, target, n, m = np.zeros(p.buckets, dtype=np.int32), np.zeros(p.buckets, dtype=np.int32), 0, 0
+        raw, target, n, m = np.zeros(p.size, dtype=np.int32), np.zeros(p.size, dtype=np.int32), 0, 0
         for b in slices(batches):
             ids = b.column(0)
             of_target = np.isin(ids.fill_null(0).to_numpy(), good) & ids.is_valid().to_numpy(zero_copy_only=False)
@@ -116,7 +144,7 @@ def count_grams(docs: DataFrame, good: np.ndarray, p: Resampling, id_col: str, t
 
     schema = "chunk int, raw binary, target binary, n long, m long"
     sums = texts.mapInArrow(run, schema).repartitionById(chunks, F.col("chunk")).mapInArrow(add, schema).collect()
-    raw, target = np.zeros(p.buckets, dtype=np.int64), np.zeros(p.buckets, dtype=np.int64)
+    raw, target = np.zeros(p.size, dtype=np.int64), np.zeros(p.size, dtype=np.int64)
     for r in sums:
         at = slice(r["chunk"] * CHUNK, (r["chunk"] + 1) * CHUNK)
         raw[at], target[at] = np.frombuffer(r["raw"], dtype=np.int64), np.frombuffer(r["target"], dtype=np.int64)
@@ -127,10 +155,24 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, n: int, m: int, p: Resamplin
     """Log ratio of the smoothed models by bucket; zero where the counts differ by chance alone."""
     expected = raw * (m / max(n, 1))
     ratio = np.log((target + p.prior) / (expected + p.prior))
-    ratio[np.abs(target - expected) < p.significance * np.sqrt(expected)] = 0
+    chance = np.abs(target - expected) < p.significance * np.sqrt(expected)
+    # Too few of a rare gram: the Poisson tail itself, which the standard error overstates.
+    few = np.flatnonzero((target < expected) & (expected < 30))
+    chance[few] = _at_most(target[few], expected[few]) > 0.5 * math.erfc(p.significance / math.sqrt(2))
+    ratio[chance] = 0
     return ratio
 
 
+def _at_most(count: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """The chance of a Poisson count of at most ``count``, which is below 30."""
+    term = np.exp(-expected)
+    total = term.copy()
+    for k in range(1, int(count.max(initial=0)) + 1):
+        term = term * expected / k
+        total += np.where(k <= count, term, 0)
+    return total
+
+
 def _noise(ids, p: Resampling) -> np.ndarray:
     h = np.array([xxhash.xxh64_intdigest(b"" if d is None else int(d).to_bytes(8, "little", signed=True), p.seed) for d in ids], dtype=np.uint64)
     u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
