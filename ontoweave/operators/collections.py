@@ -51,18 +51,24 @@ def quoted_ids(triples: DataFrame) -> DataFrame:
     return triples.withColumn("quoted", F.when(F.length(name) <= 200, name).otherwise(digest))
 
 
-def read_lists(triples: DataFrame, link: str, rounds: int = 10_000) -> DataFrame:
-    """``(subject, position, item)`` of lists linked by ``link``; one doubling join per power of two of their length."""
+def read_lists(triples: DataFrame, link: str) -> DataFrame:
+    """``(subject, position, item)`` of lists linked by ``link``; one doubling join per power of two of their length.
+
+    Lists may have any length. A path of more steps than there are cells runs in a circle, which is an error.
+    """
     rest = triples.where((F.col("p") == T.REST) & (F.col("o") != T.NIL)).select(F.col("s").alias("a"), F.col("o").alias("b"))
     first = triples.where(F.col("p") == T.FIRST).select(F.col("s").alias("node"), F.col("o").alias("item"))
     from ontoweave.plans.storage import materialize
 
     at = triples.where(F.col("p") == link).select(F.col("s").alias("subject"), F.col("o").alias("node"), F.lit(1).cast("long").alias("position"))
-    step = 1
-    while step <= rounds:
+    step, cells = 1, None
+    while True:
         at, rest = materialize(at, "list"), materialize(rest, "list-rest")
         if rest.isEmpty():
             break
+        cells = rest.select("a").distinct().count() if cells is None else cells
+        if step > cells:  # rest holds the paths of ``step`` links
+            raise ValueError("rdf:rest runs in a circle")
         moved = at.join(rest, at["node"] == rest["a"]).select("subject", F.col("b").alias("node"), (F.col("position") + step).alias("position"))
         at = at.union(moved)
         rest = rest.join(rest.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
