@@ -60,9 +60,9 @@ class _Stems(dict):
     """64-bit hashes of words' beginnings, forgotten when there are many."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 50_000:
             self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w[:STEM], 1)
+        h = self[w] = xxhash.xxh64_intdigest(w, 1)
         return h
 
 
@@ -98,7 +98,7 @@ def grams(text: str, buckets: int, orders: tuple[int, ...]) -> np.ndarray:
         g *= np.uint64(0xD6E8FEB86659FD93)
         out.append((g >> np.uint64(32)) % np.uint64(buckets) + np.uint64(i * buckets))
     if words:
-        distinct = set(words)
+        distinct = {w[:STEM] for w in words}
         g = np.fromiter(map(_STEMS.__getitem__, distinct), dtype=np.uint64, count=len(distinct))
         out.append((g >> np.uint64(32)) % np.uint64(buckets) + np.uint64(len(orders) * buckets))
     return np.unique(np.concatenate(out)).astype(np.int64) if out else np.empty(0, dtype=np.int64)

@@ -47,7 +47,7 @@ class _Hashes(dict):
     """64-bit hashes of words, forgotten when there are many."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
         return h
@@ -147,8 +147,8 @@ def emit_prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], parts
     return texts.mapInArrow(run, "part int, blob binary")
 
 
-def collide(prefixes: DataFrame, parts: int) -> DataFrame:
-    """``(key, node, size, at)`` of the shingles that prefixes of two different texts hold."""
+def collide(prefixes: DataFrame, parts: int, similarity: float) -> DataFrame:
+    """``(key, node, size, at)`` of the shingles that prefixes of two different texts hold whose sizes allow the similarity."""
 
     def run(batches):
         blobs = [x for b in batches for x in b.column(1).to_pylist()]
@@ -156,15 +156,22 @@ def collide(prefixes: DataFrame, parts: int) -> DataFrame:
             return
         rec = np.concatenate([np.frombuffer(x, dtype=RECORD) for x in blobs])
         del blobs
-        rec = rec[np.lexsort((rec["node"], rec["key"]))]
+        rec = rec[np.lexsort((rec["node"], rec["size"], rec["key"]))]
         key, node = rec["key"], rec["node"]
         new = np.ones(len(rec), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # a text that two tasks held
         rec = rec[new]
-        same = np.zeros(len(rec), dtype=bool)
-        same[1:] = rec["key"][1:] == rec["key"][:-1]
-        live = same.copy()
-        live[:-1] |= same[1:]
+        # The next in size is the likeliest partner; two alone are held to the whole condition.
+        key, size, left = rec["key"], rec["size"].astype(np.float64), (rec["size"] - rec["at"]).astype(np.float64)
+        same = key[1:] == key[:-1]
+        possible = same & (size[:-1] >= similarity * size[1:] - 1e-6)
+        two = same.copy()
+        two[1:] &= ~same[:-1]
+        two[:-1] &= ~same[1:]
+        possible &= ~two | (np.minimum(left[1:], left[:-1]) >= similarity / (1 + similarity) * (size[1:] + size[:-1]) - 1e-6)
+        live = np.zeros(len(rec), dtype=bool)
+        live[1:] = possible
+        live[:-1] |= possible
         rec = rec[live]
         for at in range(0, len(rec), 1 << 16):
             r = rec[at : at + (1 << 16)]
@@ -267,7 +274,7 @@ def similar_documents(docs: DataFrame, p: Shingling = Shingling(), id_col: str =
     # A word and its space take some six bytes.
     records = size / 6 * (1 - p.similarity) + n
     parts = max(1, math.ceil(records * RECORD.itemsize / p.block), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if n > 1000 else 1)
-    live = materialize(collide(emit_prefixes(texts, common_shingles(texts, p), parts, p), parts), "similar-live")
+    live = materialize(collide(emit_prefixes(texts, common_shingles(texts, p), parts, p), parts, p.similarity), "similar-live")
     found = components(links(live, texts, p))
     discard(live)
     member = found.join(least, "node").select("node", "component", "least")
