@@ -1,8 +1,10 @@
-"""Near-duplicates by the exact similarity of word shingles, found by prefix filtering.
+"""Near-duplicates by the exact similarity of word shingles, on top of SimHash ball hashing.
 
-Shingles are ordered by how often a sample holds them, rare ones first. Two texts whose shingles have
-a Jaccard similarity of at least t share a shingle among the first n - ceil(t n) + 1 of each, so only
-these are exchanged; texts that meet are compared on all shingles, and links become components.
+Every text gets a SimHash of its shingles; fingerprints within three bits meet by ball hashing, and
+the texts that meet are compared on all shingles. Similar texts can lie many bits apart, so what ball
+hashing can't reach is completed by prefix filtering, which misses no pair: shingles are ordered by
+how often a sample holds them, rare ones first, and two texts of similarity t share a shingle among
+the first n - ceil(t n) + 1 of each. Links become components.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontoweave.llm import simhash
 from ontoweave.llm.common import keyed_texts, slices
 from ontoweave.plans.components import components
 from ontoweave.plans.storage import discard, materialize
@@ -25,29 +28,39 @@ from ontoweave.plans.storage import discard, materialize
 RECORD = np.dtype([("key", "<u8"), ("node", "<u8"), ("size", "<u4"), ("at", "<u4")])
 
 
+#: Words of 64 bits in a text's bitmap of shingles.
+BITMAP = 16
+
+
 @dataclass(frozen=True)
 class Shingling:
     """Parameters.
 
     words: of a shingle. similarity: least Jaccard similarity of the sets of shingles. sample, common:
     documents that are sampled for the order of shingles, and the most frequent shingles that are put
-    last; they change the work, not the result. stars: rounds in which a shingle's texts are compared
-    with one of them only. block: bytes of records that a part holds.
+    last. hot: sampled texts from which a shingle's records are spread over all parts. stars, few:
+    rounds in which a shingle's texts are compared with one of them only, at most and while more
+    pairs than ``few`` a record are left to compare. block: bytes of records that a part holds.
+    fps_per_part: fingerprints whose variants a part holds. All but the first two change the work, not
+    the result.
     """
 
     words: int = 5
     similarity: float = 0.8
     sample: int = 5_000
     common: int = 1 << 16
-    stars: int = 2
+    hot: int = 16
+    stars: int = 4
+    few: int = 4
     block: int = 16 << 20
+    fps_per_part: int = 12_000
 
 
 class _Hashes(dict):
     """64-bit hashes of words, forgotten when there are many."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) > 1 << 16:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
         return h
@@ -119,7 +132,12 @@ def prefix_of(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], simil
 
 
 def emit_prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], parts: int, p: Shingling) -> DataFrame:
-    """``(part, blob)``: each different text's prefix records, packed, dealt by the shingle."""
+    """``(part, blob)``: each different text's prefix records, packed, dealt by the shingle.
+
+    Records of shingles that are hot in the sample are dealt by text instead, over parts of their own
+    from ``parts`` on, so a shingle that a third of all texts hold is not gathered in one task.
+    """
+    hot, spread = common[0][common[1] >= p.hot], max(1, parts // 4)
 
     def run(batches):
         for b in slices(batches):
@@ -127,7 +145,7 @@ def emit_prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], parts
             for t in _binary(b.column(1)):
                 words = words_of(t)
                 node = node_of(words)
-                if node in seen or len(words) <= p.words:  # a single shingle: alike means equal
+                if node in seen or len(words) < p.words:  # alike means equal
                     continue
                 seen.add(node)
                 s = shingle_set(words, p.words)
@@ -139,78 +157,141 @@ def emit_prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], parts
                 continue
             rec = np.concatenate(pieces)
             part = ((rec["key"] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(parts)
+            if len(hot):
+                at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, rec["key"]), len(hot) - 1)] == rec["key"])
+                part[at] = np.uint64(parts) + (((rec["key"][at] ^ rec["node"][at]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(spread)
             order = np.argsort(part, kind="stable")
-            rec, counts = rec[order], np.bincount(part.astype(np.int64), minlength=parts)
+            rec, counts = rec[order], np.bincount(part.astype(np.int64), minlength=parts + spread)
             ends, own = np.cumsum(counts), np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([rec[ends[x] - counts[x] : ends[x]].tobytes() for x in own], pa.binary())], ["part", "blob"])
 
     return texts.mapInArrow(run, "part int, blob binary")
 
 
-def collide(prefixes: DataFrame, parts: int, similarity: float) -> DataFrame:
-    """``(key, node, size, at)`` of the shingles that prefixes of two different texts hold whose sizes allow the similarity."""
+def _live(rec: np.ndarray, similarity: float) -> np.ndarray:
+    """The records of shingles that two texts hold whose sizes allow the similarity."""
+    rec = rec[np.lexsort((rec["node"], rec["size"], rec["key"]))]
+    key, node = rec["key"], rec["node"]
+    new = np.ones(len(rec), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # a text that two tasks held
+    rec = rec[new]
+    # The next in size is the likeliest partner; two alone are held to the whole condition.
+    key, size, left = rec["key"], rec["size"].astype(np.float64), (rec["size"] - rec["at"]).astype(np.float64)
+    same = key[1:] == key[:-1]
+    possible = same & (size[:-1] >= similarity * size[1:] - 1e-6)
+    two = same.copy()
+    two[1:] &= ~same[:-1]
+    two[:-1] &= ~same[1:]
+    possible &= ~two | (np.minimum(left[1:], left[:-1]) >= similarity / (1 + similarity) * (size[1:] + size[:-1]) - 1e-6)
+    live = np.zeros(len(rec), dtype=bool)
+    live[1:] = possible
+    live[:-1] |= possible
+    return rec[live]
+
+
+def collide(prefixes: DataFrame, parts: int, p: Shingling) -> DataFrame:
+    """``(key, node, size, at)`` of the shingles that prefixes of two different texts hold whose sizes allow the similarity.
+
+    Hot shingles, in the parts from ``parts`` on, pass as they are; their texts may come twice.
+    """
 
     def run(batches):
-        blobs = [x for b in batches for x in b.column(1).to_pylist()]
-        if not blobs:
-            return
-        rec = np.concatenate([np.frombuffer(x, dtype=RECORD) for x in blobs])
-        del blobs
-        rec = rec[np.lexsort((rec["node"], rec["size"], rec["key"]))]
-        key, node = rec["key"], rec["node"]
-        new = np.ones(len(rec), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # a text that two tasks held
-        rec = rec[new]
-        # The next in size is the likeliest partner; two alone are held to the whole condition.
-        key, size, left = rec["key"], rec["size"].astype(np.float64), (rec["size"] - rec["at"]).astype(np.float64)
-        same = key[1:] == key[:-1]
-        possible = same & (size[:-1] >= similarity * size[1:] - 1e-6)
-        two = same.copy()
-        two[1:] &= ~same[:-1]
-        two[:-1] &= ~same[1:]
-        possible &= ~two | (np.minimum(left[1:], left[:-1]) >= similarity / (1 + similarity) * (size[1:] + size[:-1]) - 1e-6)
-        live = np.zeros(len(rec), dtype=bool)
-        live[1:] = possible
-        live[:-1] |= possible
-        rec = rec[live]
-        for at in range(0, len(rec), 1 << 16):
-            r = rec[at : at + (1 << 16)]
-            cols = [np.ascontiguousarray(r["key"]).view(np.int64), np.ascontiguousarray(r["node"]).view(np.int64), r["size"].astype(np.int32), r["at"].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", "size", "at"])
-
-    return prefixes.repartitionById(parts, F.col("part")).mapInArrow(run, "key long, node long, size int, at int")
-
-
-def _possible(a: str, b: str, similarity: float):
-    """The sizes, and the shingles left behind the shared one, allow the similarity."""
+        blobs: dict[int, list[bytes]] = {}
+        for b in batches:
+            for part, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                blobs.setdefault(part, []).append(x)
+        for part in list(blobs):
+            rec = np.concatenate([np.frombuffer(x, dtype=RECORD) for x in blobs.pop(part)])
+            if part < parts:
+                rec = _live(rec, p.similarity)
+            for at in range(0, len(rec), 1 << 16):
+                r = rec[at : at + (1 << 16)]
+                cols = [np.ascontiguousarray(r["key"]).view(np.int64), np.ascontiguousarray(r["node"]).view(np.int64), r["size"].astype(np.int32), r["at"].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", "size", "at"])
+
+    return prefixes.repartitionById(parts + max(1, parts // 4), F.col("part")).mapInArrow(run, "key long, node long, size int, at int")
+
+
+def _named(texts: DataFrame, p: Shingling) -> DataFrame:
+    """``(doc_id, node, fp)``: the text's name and the SimHash of its shingles."""
+
+    def run(batches):
+        for b in slices(batches):
+            words = [words_of(t) for t in _binary(b.column(1))]
+            nodes = np.array([node_of(w) for w in words], dtype=np.uint64)
+            fps = np.array([simhash.fingerprint(shingle_set(w, p.words)) for w in words], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64))], ["doc_id", "node", "fp"])
+
+    return texts.mapInArrow(run, "doc_id long, node long, fp long")
+
+
+def ball_pairs(nodes: DataFrame, p: Shingling) -> DataFrame:
+    """``(u, v)``: texts whose fingerprints are equal or meet by ball hashing, each with one text of the fingerprint."""
+    reps = materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "similar-reps")
+    n = reps.count()
+    parts = max(1, -(-n // p.fps_per_part), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) if n > 1000 else 1)
+    met = simhash.collide(simhash.emit_variants(reps.select("fp").repartition(max(1, -(-n // 4096))), parts), parts).distinct()
+    a, b = reps.select(F.col("fp").alias("u"), F.col("rep").alias("ru")), reps.select(F.col("fp").alias("v"), F.col("rep").alias("rv"))
+    far = met.join(a, "u").join(b, "v").select("ru", "rv")
+    near = nodes.join(reps, "fp").where("node <> rep").select(F.col("node").alias("ru"), F.col("rep").alias("rv"))
+    pairs = far.union(near).select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
+    out = materialize(pairs, "similar-pairs")
+    discard(reps)
+    return out
+
+
+def _texts_of(texts: DataFrame, need: DataFrame, p: Shingling) -> DataFrame:
+    """``(node, text, b0 ...)`` for every needed node, from the row with its least doc_id, with the bitmap of its shingles."""
+    names = [f"b{i}" for i in range(BITMAP)]
+
+    def run(batches):
+        for b in slices(batches):
+            words = [words_of(t) for t in _binary(b.column(1))]
+            nodes = np.array([node_of(w) for w in words], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes.view(np.int64)), b.column(1)], ["doc_id", "node", "text"])
+
+    def mark(batches):
+        for b in slices(batches):
+            bits = np.zeros((b.num_rows, BITMAP * 64), dtype=bool)
+            for i, t in enumerate(_binary(b.column(1))):
+                bits[i, (shingle_set(words_of(t), p.words) >> np.uint64(54)).astype(np.int64)] = True
+            packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(BITMAP))], ["node", "text", *names])
+
+    t, n = texts.mapInArrow(run, "doc_id long, node long, text string").alias("t"), need.alias("n")
+    own = t.join(n, (F.col("t.node") == F.col("n.node")) & F.col("t.doc_id").eqNullSafe(F.col("n.least")), "left_semi")
+    one = own.dropDuplicates(["node"]).select("node", "text")
+    return materialize(one.mapInArrow(mark, "node long, text string, " + ", ".join(f"{c} long" for c in names)), "similar-texts")
+
+
+def _possible(a: str, b: str, p: Shingling):
+    """The sizes, the shingles left behind the shared one and the bitmaps allow the similarity."""
     a_size, b_size = F.col(f"{a}.size"), F.col(f"{b}.size")
-    least = F.lit(similarity / (1 + similarity)) * (a_size + b_size) - 1e-6
+    least = F.lit(p.similarity / (1 + p.similarity)) * (a_size + b_size) - 1e-6
     left = F.least(a_size - F.col(f"{a}.at"), b_size - F.col(f"{b}.at"))
+    # A bit that only one side has stands for a shingle, or more, that only it has.
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.b{i}")))) for i in range(BITMAP)), F.lit(0))
+    both = F.least(a_size - only(a, b), b_size - only(b, a))
     # Shingles before the shared one may be shared too, but then the texts meet in the first of these.
-    return (F.least(a_size, b_size) >= F.lit(similarity) * F.greatest(a_size, b_size) - 1e-6) & (left >= least)
+    return (F.least(a_size, b_size) >= F.lit(p.similarity) * F.greatest(a_size, b_size) - 1e-6) & (left >= least) & (both >= least)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, p: Shingling) -> DataFrame:
+def _verified(pairs: DataFrame, whole: DataFrame, p: Shingling) -> DataFrame:
     """The pairs ``(u, v)`` of texts that are alike."""
-    need = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "similar-need")
-
-    def named(batches):
-        for b in slices(batches):
-            nodes = np.array([node_of(words_of(t)) for t in _binary(b.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), b.column(1)], ["node", "text"])
-
-    whole = texts.mapInArrow(named, "node long, text string").join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    whole = materialize(whole, "similar-texts")
     u, v = whole.select(F.col("node").alias("u"), F.col("text").alias("a")), whole.select(F.col("node").alias("v"), F.col("text").alias("b"))
 
     def run(batches):
         last: dict[int, np.ndarray] = {}
+        held = 0
 
         def shingles(node, text):
+            nonlocal held
             if node not in last:
-                if len(last) > 200:
+                if held > 4 << 20:  # 32 MB of hashes
                     last.clear()
+                    held = 0
                 last[node] = shingle_set(words_of(text), p.words)
+                held += len(last[node])
             return last[node]
 
         for b in slices(batches):
@@ -218,39 +299,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: Shingling) -> DataFrame:
             ok = [alike(shingles(us[i], a[i]), shingles(vs[i], t[i]), p.similarity) for i in range(len(us))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    out = materialize(pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar-links")
-    discard(need)
-    discard(whole)
-    return out
+    return materialize(pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar-links")
 
 
-def links(live: DataFrame, texts: DataFrame, p: Shingling) -> DataFrame:
+def links(live: DataFrame, first: DataFrame, whole: DataFrame, p: Shingling) -> DataFrame:
     """Pairs ``(u, v)`` of alike texts that connect all that alike texts connect.
 
-    First every shingle's texts are compared with the one that meets most others, then with the next,
-    which links large groups of near copies by as many pairs as texts; then all pairs that are still
-    in different components are compared, so no link between components is missed.
+    The pairs of ball hashing come first. Then every shingle's texts are compared with one of them, of
+    the largest component there, another one each round, which links large groups of near copies by
+    as many pairs as texts. At last all pairs that share a shingle and are still in different
+    components are compared, so no link between components is missed.
     """
-    met = live.groupBy("node").agg(F.count(F.lit(1)).alias("met"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "node"))
-    ranked = materialize(live.join(met, "node").select("key", "node", "size", "at", rank.alias("rank")), "similar-ranked")
-    found = None
+    bits = [f"b{i}" for i in range(BITMAP)]
+    rows = materialize(live.dropDuplicates(["key", "node"]).join(whole.select("node", *bits), "node").select("key", "node", "size", "at", *bits), "similar-rows")
+    total = rows.count()
+    met = rows.groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+    found = _verified(first, whole, p)
+    fields = ["node", "size", "at", *bits]
     for r in range(p.stars + 1):
-        now = ranked.withColumn("c", F.col("node"))
-        if found is not None:
-            group = components(found).withColumnRenamed("component", "g")
-            now = materialize(ranked.join(group, "node", "left").select("key", "node", "size", "at", "rank", F.coalesce("g", "node").alias("c")), "similar-now")
-        first = now.where(F.col("rank") == r + 1) if r < p.stars else now
-        way = F.col("a.node") != F.col("b.node") if r < p.stars else F.col("a.node") < F.col("b.node")
-        met_in = first.alias("a").join(now.alias("b"), F.col("a.key") == F.col("b.key")).where(way & (F.col("a.c") != F.col("b.c")) & _possible("a", "b", p.similarity))
-        pairs = materialize(met_in.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), "similar-pairs")
+        group = components(found).withColumnRenamed("component", "g")
+        now = rows.join(group, "node", "left").withColumn("c", F.coalesce("g", "node")).drop("g")
+        if not r:  # the text that meets most others, if there is a hub it is that one
+            now = now.join(met, "node")
+        now = materialize(now, "similar-now")
+        prefer = -F.col("met") if not r else F.lit(0).cast("long")
+        pick = F.min(F.struct(prefer.alias("m"), F.xxhash64("key", "node", F.lit(r)).alias("h"), *fields)).alias("pick")
+        parts = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), pick)
+        keys = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", (-F.col("pick.m")).alias("m"), "pick", "c")).alias("top"))
+        keys = materialize(keys.where("parts > 1").select("key", F.col("top.c").alias("c"), ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("left"), *(F.col(f"top.pick.{x}").alias(x) for x in fields)), "similar-stars")
+        left = keys.agg(F.sum("left")).first()[0] or 0
+        last = r == p.stars or left <= p.few * total
+        if left:
+            a, b = (now if last else keys).alias("a"), now.alias("b")
+            if last:
+                a = now.join(keys.select("key"), "key", "left_semi").alias("a")
+            way = F.col("a.node") < F.col("b.node") if last else F.col("a.node") != F.col("b.node")
+            met_in = a.join(b, F.col("a.key") == F.col("b.key")).where(way & (F.col("a.c") != F.col("b.c")) & _possible("a", "b", p))
+            pairs = materialize(met_in.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), "similar-pairs")
+            found = found.union(_verified(pairs, whole, p))
+            discard(pairs)
         discard(now)
-        if not pairs.isEmpty():
-            more = _verified(pairs, texts, p)
-            found = more if found is None else found.union(more)
-        discard(pairs)
-    discard(ranked)
-    return found if found is not None else live.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false")
+        discard(keys)
+        if last or not left:
+            break
+    discard(rows)
+    return found
 
 
 def similar_documents(docs: DataFrame, p: Shingling = Shingling(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,27 +351,28 @@ def similar_documents(docs: DataFrame, p: Shingling = Shingling(), id_col: str =
 
     Texts link if the sets of their shingles have at least the similarity; ``component_id`` is the
     smallest doc_id reachable through links, itself included. Only A-Z are lower-cased; words are
-    runs of anything but ASCII white space. A text with at most as many words as a shingle links to
-    equal ones only, as wordless and null texts do. Repeated doc_ids give one row each.
+    runs of anything but ASCII white space. A text with fewer words than a shingle links to
+    equal ones only, as wordless and null texts do. Repeated doc_ids give one row each, and a row
+    without doc_id gets the smallest other doc_id of its component, or null; an empty table gives no
+    rows. Shingles of one text are held in a task, 8 bytes a word.
     """
     texts = keyed_texts(docs, id_col, text_col)
-
-    def name(batches):
-        for b in slices(batches):
-            nodes = np.array([node_of(words_of(t)) for t in _binary(b.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes.view(np.int64))], ["doc_id", "node"])
-
-    named = materialize(texts.mapInArrow(name, "doc_id long, node long"), "similar-nodes")
-    least = materialize(named.groupBy("node").agg(F.min("doc_id").alias("least")), "similar-least")
+    named = materialize(_named(texts, p), "similar-nodes")
+    least = materialize(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "similar-least")
     n, size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
     # A word and its space take some six bytes.
     records = size / 6 * (1 - p.similarity) + n
     parts = max(1, math.ceil(records * RECORD.itemsize / p.block), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if n > 1000 else 1)
-    live = materialize(collide(emit_prefixes(texts, common_shingles(texts, p), parts, p), parts, p.similarity), "similar-live")
-    found = components(links(live, texts, p))
-    discard(live)
+    live = materialize(collide(emit_prefixes(texts, common_shingles(texts, p), parts, p), parts, p), "similar-live")
+    first = ball_pairs(least.select("node", "fp"), p)
+    need = live.select("node").union(first.select("u")).union(first.select("v")).distinct()
+    whole = _texts_of(texts, least.join(need, "node", "left_semi"), p)
+    joined = links(live, first, whole, p)
+    found = components(joined)
+    for t in (live, first, whole):
+        discard(t)
     member = found.join(least, "node").select("node", "component", "least")
     smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = member.join(smallest, "component").select("node", "component_id")
     whole = least.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return named.join(whole, "node").select("doc_id", "component_id")
+    return named.drop("fp").join(whole, "node").select("doc_id", "component_id")

@@ -44,7 +44,7 @@ def ball_masks() -> tuple[np.ndarray, np.ndarray]:
 def simhash_text(text: str, words_per_shingle: int = 3) -> int:
     """The fingerprint of one text; bits set in over half of the shingles' XXH64 (seed 42)."""
     words = [w for w in text.encode().lower().split()]
-    return int(_fingerprint(_shingle_hashes(words, words_per_shingle)))
+    return int(fingerprint(_shingle_hashes(words, words_per_shingle)))
 
 
 def _shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -60,7 +60,8 @@ def _shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     return np.array([h(joined[a:b], 42) for a, b in zip(starts, stops)], dtype=np.uint64)
 
 
-def _fingerprint(hashes: np.ndarray) -> np.uint64:
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """Bits set in over half of the hashes; zero without any."""
     n = len(hashes)
     if not n:
         return np.uint64(0)
@@ -87,7 +88,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "doc
 
 
 def simhash_bytes(text: bytes, k: int) -> np.int64:
-    return np.uint64(_fingerprint(_shingle_hashes(text.lower().split(), k))).astype(np.int64)
+    return np.uint64(fingerprint(_shingle_hashes(text.lower().split(), k))).astype(np.int64)
 
 
 def emit_variants(fps: DataFrame, parts: int) -> DataFrame:

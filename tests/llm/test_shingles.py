@@ -40,7 +40,7 @@ def corpus():
             rows.append((len(rows) + 10, " ".join(w)))
     long = [word() for _ in range(60)]
     rows += [(len(rows) + 10, " ".join(long[i : i + 40])) for i in range(0, 20, 2)]  # a chain of shifts
-    rows += [(900, None), (901, ""), (902, "  "), (903, "one two"), (904, "One  two"), (905, "one three"), (906, "a b c d e"), (907, "A b c d e"), (1, rows[30][1])]
+    rows += [(880, "a a a a a"), (881, "a a A a a a"), (882, "a a a a"), (900, None), (901, ""), (902, "  "), (903, "one two"), (904, "One  two"), (905, "one three"), (906, "a b c d e"), (907, "A b c d e"), (1, rows[30][1])]
     return rows
 
 
