@@ -1,13 +1,14 @@
 """Quality by importance resampling over hashed n-gram generative models.
 
 A target model is fitted on labelled good documents and a raw model on all documents. A document's
-log importance weight is the sum of the log ratios of its n-grams, and the documents to keep are
-drawn by Gumbel top-k: a keyed Gumbel noise is added to every weight and the k largest stay.
+log importance weight is the sum of the log ratios of its n-grams, every occurrence counted, and the
+documents to keep are drawn by Gumbel top-k: standard Gumbel noise, keyed by doc_id, is added to
+every weight and the k largest stay, which draws k documents without replacement in proportion to
+their importance.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -17,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ontoweave.llm.common import slices, table
 from ontoweave.plans.storage import discard, materialize
@@ -33,21 +35,20 @@ class Resampling:
     """Parameters.
 
     buckets: size of both models for each kind of feature, whatever the corpus. orders: n-grams
-    counted, once a document, besides the beginnings of words.
-    max_target: labelled good documents that the target model is fitted on at most, those with the
-    smallest hash of doc_id, which bounds what is sent to the executors. prior: documents added to
-    both counts of a bucket. significance: standard errors by which a bucket's counts must differ to
-    have a ratio other than one, and the chance that goes with them where few are expected. cutoff: documents
-    with at least this log weight make up k. temperature: scale of the Gumbel noise.
+    counted besides the beginnings of words. max_target: labelled good documents that the target
+    model is fitted on at most, those with the smallest hash of doc_id, which bounds what is sent to
+    the executors. prior: occurrences added to both counts of a bucket. shrink: squared deviance at
+    which half of a bucket's log ratio is believed; the counts' deviance is that of Poisson numbers,
+    so buckets that differ by chance are drawn to one and none is left out. keep: share of the
+    documents that are drawn; None takes the share of good ones among the labelled.
     """
 
     buckets: int = 1 << 18
     orders: tuple[int, ...] = (1, 2)
     max_target: int = 50_000
-    prior: float = 2.0
-    significance: float = 2.5
-    cutoff: float = -2.0
-    temperature: float = 0.1
+    prior: float = 1.0
+    shrink: float = 256.0
+    keep: float | None = None
     seed: int = 11
 
     @property
@@ -57,12 +58,12 @@ class Resampling:
 
 
 class _Stems(dict):
-    """64-bit hashes of words' beginnings, forgotten when there are many."""
+    """64-bit hashes of words' beginnings by word, forgotten when there are many."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 50_000:
+        if len(self) > 1 << 16:
             self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w, 1)
+        h = self[w] = xxhash.xxh64_intdigest(w[:STEM], 1)
         return h
 
 
@@ -70,7 +71,7 @@ class _Hashes(dict):
     """64-bit hashes of words, forgotten when there are many."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 1 << 16:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
         return h
@@ -80,7 +81,7 @@ _HASHES, _STEMS = _Hashes(), _Stems()
 
 
 def grams(text: str, buckets: int, orders: tuple[int, ...]) -> np.ndarray:
-    """The distinct buckets of a text's n-grams and of its words' beginnings: words and runs of other signs, lower-cased.
+    """The buckets of a text's n-grams and of its words' beginnings, one for every occurrence: words and runs of other signs, lower-cased.
 
     Every order has buckets of its own, so the many rare pairs don't blur the counts of words; the
     beginnings pool the rare forms of a word.
@@ -98,14 +99,13 @@ def grams(text: str, buckets: int, orders: tuple[int, ...]) -> np.ndarray:
         g *= np.uint64(0xD6E8FEB86659FD93)
         out.append((g >> np.uint64(32)) % np.uint64(buckets) + np.uint64(i * buckets))
     if words:
-        distinct = {w[:STEM] for w in words}
-        g = np.fromiter(map(_STEMS.__getitem__, distinct), dtype=np.uint64, count=len(distinct))
+        g = np.fromiter(map(_STEMS.__getitem__, words), dtype=np.uint64, count=len(words))
         out.append((g >> np.uint64(32)) % np.uint64(buckets) + np.uint64(len(orders) * buckets))
-    return np.unique(np.concatenate(out)).astype(np.int64) if out else np.empty(0, dtype=np.int64)
+    return np.concatenate(out).astype(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
-def count_grams(docs: DataFrame, good: np.ndarray, p: Resampling, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Documents that hold each bucket, for all documents and for the good ones, and both totals.
+def count_grams(docs: DataFrame, good: np.ndarray, p: Resampling, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Occurrences of each bucket in all documents and in the good ones, and the number of documents.
 
     Counts are summed within each task, shuffled as chunks and come to the driver as 2 * size
     numbers in all.
@@ -114,63 +114,51 @@ def count_grams(docs: DataFrame, good: np.ndarray, p: Resampling, id_col: str, t
     chunks = p.size // CHUNK
 
     def run(batches):
-        raw, target, n, m = np.zeros(p.size, dtype=np.int32), np.zeros(p.size, dtype=np.int32), 0, 0
+        raw, target, n = np.zeros(p.size, dtype=np.int64), np.zeros(p.size, dtype=np.int64), 0
         for b in slices(batches):
             ids = b.column(0)
             of_target = np.isin(ids.fill_null(0).to_numpy(), good) & ids.is_valid().to_numpy(zero_copy_only=False)
             for t, is_good in zip(b.column(1).to_pylist(), of_target):
                 g = grams(t, p.buckets, p.orders)
-                raw[g] += 1
-                n += 1
+                np.add.at(raw, g, 1)
                 if is_good:
-                    target[g] += 1
-                    m += 1
+                    np.add.at(target, g, 1)
+                n += 1
         if n:
             part = lambda a: pa.array([zlib.compress(a[i * CHUNK : (i + 1) * CHUNK].tobytes(), 1) for i in range(chunks)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), part(raw), part(target), pa.array([n if i == 0 else 0 for i in range(chunks)], pa.int64()), pa.array([m if i == 0 else 0 for i in range(chunks)], pa.int64())], ["chunk", "raw", "target", "n", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), part(raw), part(target), pa.array([n if i == 0 else 0 for i in range(chunks)], pa.int64())], ["chunk", "raw", "target", "n"])
 
     def add(batches):
         sums: dict[int, list] = {}
         for b in batches:
-            for c, raw, target, n, m in zip(*(b.column(i).to_pylist() for i in range(5))):
-                s = sums.setdefault(c, [np.zeros(CHUNK, dtype=np.int64), np.zeros(CHUNK, dtype=np.int64), 0, 0])
-                s[0] += np.frombuffer(zlib.decompress(raw), dtype=np.int32)
-                s[1] += np.frombuffer(zlib.decompress(target), dtype=np.int32)
+            for c, raw, target, n in zip(*(b.column(i).to_pylist() for i in range(4))):
+                s = sums.setdefault(c, [np.zeros(CHUNK, dtype=np.int64), np.zeros(CHUNK, dtype=np.int64), 0])
+                s[0] += np.frombuffer(zlib.decompress(raw), dtype=np.int64)
+                s[1] += np.frombuffer(zlib.decompress(target), dtype=np.int64)
                 s[2] += n
-                s[3] += m
         if sums:
-            cols = list(zip(*[(c, s[0].tobytes(), s[1].tobytes(), s[2], s[3]) for c, s in sums.items()]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["chunk", "raw", "target", "n", "m"])
+            cols = list(zip(*[(c, s[0].tobytes(), s[1].tobytes(), s[2]) for c, s in sums.items()]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], ["chunk", "raw", "target", "n"])
 
-    schema = "chunk int, raw binary, target binary, n long, m long"
+    schema = "chunk int, raw binary, target binary, n long"
     sums = texts.mapInArrow(run, schema).repartitionById(chunks, F.col("chunk")).mapInArrow(add, schema).collect()
     raw, target = np.zeros(p.size, dtype=np.int64), np.zeros(p.size, dtype=np.int64)
     for r in sums:
         at = slice(r["chunk"] * CHUNK, (r["chunk"] + 1) * CHUNK)
         raw[at], target[at] = np.frombuffer(r["raw"], dtype=np.int64), np.frombuffer(r["target"], dtype=np.int64)
-    return raw, target, sum(r["n"] for r in sums), sum(r["m"] for r in sums)
+    return raw, target, sum(r["n"] for r in sums)
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, n: int, m: int, p: Resampling) -> np.ndarray:
-    """Log ratio of the smoothed models by bucket; zero where the counts differ by chance alone."""
-    expected = raw * (m / max(n, 1))
-    ratio = np.log((target + p.prior) / (expected + p.prior))
-    chance = np.abs(target - expected) < p.significance * np.sqrt(expected)
-    # Too few of a rare gram: the Poisson tail itself, which the standard error overstates.
-    few = np.flatnonzero((target < expected) & (expected < 30))
-    chance[few] = _at_most(target[few], expected[few]) > 0.5 * math.erfc(p.significance / math.sqrt(2))
-    ratio[chance] = 0
-    return ratio
-
+def log_ratios(raw: np.ndarray, target: np.ndarray, p: Resampling) -> np.ndarray:
+    """Log ratio of the smoothed models by bucket, drawn towards zero where chance may explain it.
 
-def _at_most(count: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """The chance of a Poisson count of at most ``count``, which is below 30."""
-    term = np.exp(-expected)
-    total = term.copy()
-    for k in range(1, int(count.max(initial=0)) + 1):
-        term = term * expected / k
-        total += np.where(k <= count, term, 0)
-    return total
+    Both models are over occurrences: the raw counts are scaled to as many as the target has.
+    """
+    expected = raw * (target.sum() / max(1, raw.sum()))
+    ratio = np.log((target + p.prior) / (expected + p.prior))
+    seen = np.where(target > 0, target * np.log(np.maximum(target, 1) / np.maximum(expected, 1e-300)), 0.0)
+    deviance = np.where(raw > 0, np.maximum(2 * (seen - (target - expected)), 0.0), 0.0)
+    return ratio * deviance**2 / (deviance**2 + p.shrink)
 
 
 def _noise(ids, p: Resampling) -> np.ndarray:
@@ -181,7 +169,7 @@ def _noise(ids, p: Resampling) -> np.ndarray:
 
 def _score(ids, texts, ratio: np.ndarray, p: Resampling) -> tuple[np.ndarray, np.ndarray]:
     w = np.array([ratio[grams(t or "", p.buckets, p.orders)].sum() for t in texts])
-    return w, w + p.temperature * _noise(ids, p)
+    return w, w + _noise(ids, p)
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
@@ -214,53 +202,57 @@ def _as_ordered(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.where(o < 0, o ^ np.int64(0x7FFFFFFFFFFFFFFF), o))], ["o"])
 
 
-@dataclass
-class Fitted:
-    ratio: np.ndarray
-    scores: DataFrame  # doc_id, log_weight, key of every document
-    k: int
-    least_key: float
+def good_documents(labels: DataFrame, p: Resampling) -> tuple[np.ndarray, float]:
+    """Ids of the labelled good documents (quality 1, not toxic; at most ``max_target``), and their share of all labelled; rows with nulls are no labels."""
+    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.min(F.expr("CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END")).alias("good"))
+    labelled, good = labels.agg(F.count(F.lit(1)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    chosen = labels.where("good = 1").select("d").orderBy(F.xxhash64("d"), "d").limit(p.max_target).collect()
+    return np.array(sorted(r["d"] for r in chosen), dtype=np.int64), good / labelled if labelled else 1.0
+
 
+def draw(docs: DataFrame, labels: DataFrame, p: Resampling = Resampling(), id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """``(doc_id, log_weight, gumbel_key)`` of the k documents drawn, or with ``whole`` all columns of their rows.
 
-def fit(docs: DataFrame, labels: DataFrame, p: Resampling = Resampling(), id_col: str = "doc_id", text_col: str = "text") -> Fitted:
-    """Both models over all documents, every document's weight, k and the key that the k-th has."""
-    clean = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("d")).distinct()
-    chosen = clean.orderBy(F.xxhash64("d"), "d").limit(p.max_target).collect()
-    good = np.array(sorted(r["d"] for r in chosen), dtype=np.int64)
-    ratio = log_ratios(*count_grams(docs, good, p, id_col, text_col), p)
+    Two passes over the texts: one counts, the other weighs and writes the keys (with ``whole`` beside
+    the rows, so that no third pass is needed) to the shared folder, where the exact k-th key is found.
+    """
+    good, share = good_documents(labels, p)
+    raw, target, n = count_grams(docs, good, p, id_col, text_col)
+    ratio = log_ratios(raw, target, p)
+    k = min(n, round((share if p.keep is None else p.keep) * n)) if len(good) else n
+    key, weight = _unused("_key", docs.columns), _unused("_weight", docs.columns)
+    rows = docs if whole else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    at = (docs.columns.index(id_col), docs.columns.index(text_col)) if whole else (0, 1)
 
     def run(batches):
         for b in slices(batches):
-            w, key = _score(b.column(0).to_pylist(), b.column(1).to_pylist(), ratio, p)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w), pa.array(key)], ["doc_id", "log_weight", "key"])
+            w, keys = _score(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist(), ratio, p)
+            own = list(b.columns) if whole else [b.column(0)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(w), pa.array(keys)], [str(i) for i in range(len(own) + 2)])
+
+    out = StructType([*(rows.schema if whole else rows.schema[:1]), StructField(weight, DoubleType()), StructField(key, DoubleType())])
+    scores = materialize(rows.mapInArrow(run, out), "weights")
+    kept = scores.where(F.col(key) >= kth_largest(scores.select(F.col(key).alias("key")), k))
+    return kept.select(*docs.columns) if whole else kept.select("doc_id", F.col(weight).alias("log_weight"), F.col(key).alias("gumbel_key"))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scores = materialize(texts.mapInArrow(run, "doc_id long, log_weight double, key double"), "weights")
-    k = scores.where(F.col("log_weight") >= p.cutoff).count()
-    return Fitted(ratio, scores, k, kth_largest(scores, k))
+
+def _unused(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def resample(docs: DataFrame, labels: DataFrame, p: Resampling = Resampling(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the k rows of ``docs`` with the largest perturbed weights.
 
-    k is the number of documents whose log weight is at least ``cutoff``. Rows that tie with the
-    k-th all stay, so equal rows share their fate. A null or empty text has weight zero; a null
-    doc_id has the noise of no id. Without labelled good documents no bucket differs and all rows
+    k is ``keep`` of the rows. Rows that tie with the k-th all stay, so equal rows share their fate. A
+    null or empty text has weight zero; a null doc_id has the noise of no id; a doc_id labelled twice
+    is good if all its labels are. Without labelled good documents no weight can be given and all rows
     stay; an empty table gives no rows.
     """
-    f = fit(docs, labels, p, id_col, text_col)
-    at, schema, ratio, least = (docs.columns.index(id_col), docs.columns.index(text_col)), docs.schema, f.ratio, f.least_key
-    discard(f.scores)
-
-    def run(batches):
-        for b in slices(batches):
-            _, key = _score(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist(), ratio, p)
-            yield b.filter(pa.array(key >= least))
-
-    return docs.mapInArrow(run, schema)
+    return draw(docs, labels, p, id_col, text_col, whole=True)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
-    """The documents drawn, with weight, key and rank-free flag: doc_id, log_weight, gumbel_key, kept (true)."""
-    f = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return f.scores.where(F.col("key") >= f.least_key).select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), F.lit(True).alias("kept"))
+    """The documents drawn, with weight and key: doc_id, log_weight, gumbel_key, kept (true)."""
+    return draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumn("kept", F.lit(True))
