@@ -1,14 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders, windows of the resulting templates are
-hash-joined with those of the benchmark, and the values in the slots of aligned templates must map
-consistently, which also catches questions asked again with other numbers or names.
+Numbers, names and units become typed placeholders, and windows of the resulting templates are
+hash-joined with those of the benchmark. Windows that lie on one alignment of a document with an item
+make a passage, and the values in its slots must map one to one to the item's, which also catches
+questions asked again with other numbers or names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.llm.common import keyed_texts, slices, table
+from ontoweave.plans.storage import discard, materialize
 
 # The words that count as numbers and as units.
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -40,7 +42,7 @@ class _Codes(dict):
     """Codes of words with their flags, forgotten when there are many; 0 for tokens without letter or digit."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 1 << 16:
             self.clear()
         core = w.strip(STRIP)
         low = core.lower()
@@ -86,19 +88,40 @@ def template(text: str, begins: bool = True) -> tuple[np.ndarray, np.ndarray, li
     return codes, slots, words, at
 
 
-def window_hashes(codes: np.ndarray, slots: np.ndarray, width: int, least_words: int) -> np.ndarray:
-    """One hash per window of ``width`` codes; 0 where fewer than ``least_words`` are not placeholders."""
+class _Literals(dict):
+    """Hashes of the words themselves, forgotten when there are many."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 1 << 16:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w.strip(STRIP).lower(), 3)
+        return h
+
+
+_LITERALS = _Literals()
+
+
+def _rolled(codes: np.ndarray, width: int) -> np.ndarray:
     n = len(codes) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
+    h = np.full(max(n, 0), width, dtype=np.uint64)
+    for k in range(width if n > 0 else 0):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    literal = np.concatenate([[0], np.cumsum(slots == 0)])
-    h[(literal[width:] - literal[:-width]) < least_words] = 0
+    return h ^ (h >> np.uint64(32))
+
+
+def literals(words: list[str], at: np.ndarray) -> np.ndarray:
+    return np.fromiter((_LITERALS[words[i]] for i in at), dtype=np.uint64, count=len(at))
+
+
+def window_hashes(codes: np.ndarray, slots: np.ndarray, words: list[str], at: np.ndarray, width: int) -> np.ndarray:
+    """One hash per window of ``width`` codes; of the words themselves where fewer than half of them (rounded down) are not placeholders."""
+    h = _rolled(codes, width)
+    count = np.concatenate([[0], np.cumsum(slots == 0)])
+    bare = np.flatnonzero(count[width:] - count[:-width] < width // 2) if len(h) else []
+    for i in bare:
+        h[i] = _rolled(literals(words, at[i : i + width]) ^ np.uint64(1), width)[0]
     return h
 
 
@@ -106,12 +129,12 @@ def window_hashes(codes: np.ndarray, slots: np.ndarray, width: int, least_words:
 class Decontamination:
     """Parameters.
 
-    width: words of a template window. coverage, run: a document leaks an item if, near one place,
-    matched windows cover this share of the item's words, or this many words without a break.
-    consistency: share of the aligned slots that must follow one mapping of values, in a cluster of
-    windows or in one copy of the item there. least_item: items with fewer words are too common to
-    be told from prose and never match. block_words: benchmark words that are sent to the executors
-    at once; a larger benchmark goes in blocks, each against all documents.
+    width: words of a template window. coverage, run: a document leaks an item if matched windows on
+    one alignment cover this share of the item's words, or this many words without a break.
+    consistency: share of the aligned slots that must follow one mapping of values, one to one by
+    kind of slot. least_item: items with fewer words leak only where all their words follow one
+    another as they are. filter_bits: most bits of the filter of benchmark windows that goes to the
+    executors; a larger benchmark lets more windows pass to the join, which decides.
     """
 
     width: int = 5
@@ -119,172 +142,292 @@ class Decontamination:
     run: int = 13
     consistency: float = 0.8
     least_item: int = 8
-    block_words: int = 1_000_000
-
-
-class Index:
-    """Windows of one block of benchmark items, by hash."""
-
-    def __init__(self, items: list[tuple[int, str]], p: Decontamination):
-        self.p, self.items, self.where = p, [], defaultdict(list)
-        for item_id, text in items:
-            codes, slots, words, at = template(text or "")
-            if len(codes) < p.least_item:
-                continue
-            k = len(self.items)
-            # Inside a document the item need not begin a sentence; its first word may then look like a name.
-            inside, inside_slots, *_ = template(text, False)
-            self.items.append((item_id, np.maximum(slots, inside_slots), [words[i].strip(STRIP).lower() for i in at]))
-            first = window_hashes(codes, slots, p.width, p.width // 2).tolist()
-            other = window_hashes(inside, inside_slots, p.width, p.width // 2).tolist()
-            for pos, both in enumerate(zip(first, other)):
-                for h in set(both) - {0}:
-                    self.where[h].append((k, pos))
-        self.bits = np.zeros(1 << 20, dtype=bool)
-        if self.where:
-            self.bits[np.fromiter(self.where, dtype=np.uint64, count=len(self.where)) >> np.uint64(44)] = True
-
-    def leaks(self, text: str) -> list[tuple]:
-        """``(item_id, coverage, longest run, slots, consistent slots, verbatim, first word, last word)`` by item."""
-        p = self.p
-        codes, slots, words, at = template(text)
-        h = window_hashes(codes, slots, p.width, p.width // 2)
-        hits = np.flatnonzero(self.bits[h >> np.uint64(44)] & (h != 0))
-        by_item = defaultdict(list)
-        for d, x in zip(hits.tolist(), h[hits].tolist()):
-            for k, pos in self.where.get(x, ()):
-                by_item[k].append((d, pos))
-        out: dict[int, tuple] = {}
-        for k, found in by_item.items():
-            item_id, item_slots, item_words = self.items[k]
-            size, start = len(item_words), 0
-            for i in range(1, len(found) + 1):
-                if i < len(found) and found[i][0] - found[i - 1][0] <= size:
+    filter_bits: int = 1 << 27
+
+
+WORD = re.compile(r"\S+")
+#: How a passage looks: its text, the template, what is covered, the item's places with slots and the values there, code points.
+PASSAGE = "dkey string, ckey long, coverage double, longest_run long, pos array<int>, value array<string>, start int, end int"
+
+
+def _cores(words: list[str], at) -> list[str]:
+    return [words[i].strip(STRIP).lower() for i in at]
+
+
+def _items(benchmark: DataFrame, p: Decontamination, id_col: str, text_col: str) -> DataFrame:
+    """``(item_id, ckey, words, slots, hashes, pos)`` per item: its template's name, words and windows; short items have one window, the whole."""
+    rows = keyed_texts(benchmark, id_col, text_col)
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["item_id", "ckey", "words", "slots", "hashes", "pos"]
+
+    def run(batches):
+        for b in slices(batches):
+            out = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                codes, slots, words, at = template(t)
+                # Inside a document the item need not begin a sentence; its first word may then look like a name.
+                inside, inside_slots, *_ = template(t, False)
+                n = len(codes)
+                if not n:
+                    continue
+                if n < p.least_item:
+                    h = _rolled(literals(words, at), n)
+                    pairs = [(int(h[0]), 0)]
+                    name = literals(words, at).tobytes()
+                else:
+                    both = zip(window_hashes(codes, slots, words, at, p.width).tolist(), window_hashes(inside, inside_slots, words, at, p.width).tolist())
+                    pairs = [(h, pos) for pos, hs in enumerate(both) for h in set(hs)]
+                    name = codes.tobytes() + inside.tobytes()
+                hashes = np.array([h for h, _ in pairs], dtype=np.uint64).view(np.int64).tolist()
+                ckey = int(np.uint64(xxhash.xxh3_64_intdigest(name + bytes([min(n, p.least_item)]))).astype(np.int64))
+                out.append((i, ckey, _cores(words, at), np.maximum(slots, inside_slots).tolist(), hashes, [pos for _, pos in pairs]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    made = rows.mapInArrow(run, "item_id long, ckey long, words array<string>, slots array<int>, hashes array<long>, pos array<int>")
+    return materialize(made, "items")
+
+
+def _filter(items: DataFrame, p: Decontamination) -> tuple[np.ndarray, list[int]]:
+    """A bitmap of all windows' hashes, at most ``filter_bits``, and the lengths of short items."""
+    n, short = items.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)), F.collect_set(F.when(F.size("words") < p.least_item, F.size("words")))).first()
+    bits = min(p.filter_bits, 1 << max(16, (64 * n - 1).bit_length())) if n else 1 << 16
+
+    def run(batches):
+        out = np.zeros(bits // 8, dtype=np.uint8)
+        for b in batches:
+            h = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(bits)
+            np.bitwise_or.at(out, (h >> np.uint64(3)).astype(np.int64), (1 << (h & np.uint64(7))).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
+
+    whole = np.zeros(bits // 8, dtype=np.uint8)
+    for r in items.select("hashes").mapInArrow(run, "bits binary").toLocalIterator():  # one task's bitmap at a time
+        whole |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return whole, sorted(short)
+
+
+def _windows(texts: DataFrame, seen_bits: np.ndarray, short: list[int], p: Decontamination) -> DataFrame:
+    """``(doc_id, dkey, h, d, start, end, words)``: per text the windows that pass the filter, as arrays; texts without any go.
+
+    A text that comes again in one task brings no windows the second time.
+    """
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+    names = ["doc_id", "dkey", "h", "d", "start", "end", "words"]
+    size = np.uint64(len(seen_bits) * 8)
+
+    def passing(h):
+        at = h % size
+        return np.flatnonzero((seen_bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+
+    def run(batches):
+        known: dict[str, bool] = {}
+        for b in slices(batches):
+            out = []
+            for doc, t, key in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if key in known:
+                    if known[key]:
+                        out.append((doc, key, [], [], [], [], []))
                     continue
-                leak = self._leak(found[start:i], size, item_slots, item_words, slots, words, at)
-                start = i
-                if leak and (item_id not in out or leak[1:3] > out[item_id][1:3]):
-                    out[item_id] = (item_id, *leak[1:])
-        return [out[k] for k in sorted(out, key=lambda k: (k is None, k))]
-
-    def _leak(self, found, size, item_slots, item_words, slots, words, at):
-        """The cluster's best leak: of the whole cluster, or else of one copy in it."""
-        whole = self._judge(found, size, item_slots, item_words, words, at)
-        if whole is None or whole[-1]:
-            return whole and whole[0]
-        # Copies side by side, or windows that repeat in the item, mix alignments: each copy by itself.
-        best = None
-        for copy in _copies(found, size):
-            one = self._judge(copy, size, item_slots, item_words, words, at)
-            if one and one[-1] and (best is None or one[0][1:3] > best[1:3]):
-                best = one[0]
-        return best
-
-    def _judge(self, found, size, item_slots, item_words, words, at):
-        """The leak that the windows make, and whether its slots are consistent; None if too little is covered."""
-        p, covered, pairs = self.p, np.zeros(size, dtype=bool), set()
-        runs: dict[int, tuple[int, int]] = {}
-        longest = 0
-        for d, pos in found:
+                codes, slots, words, at = template(t)
+                found = []  # hash, first code, length
+                h = window_hashes(codes, slots, words, at, p.width)
+                found += [(x, d, p.width) for d, x in zip(hits.tolist(), h[hits].tolist())] if len(hits := passing(h)) else []
+                if short:
+                    own = literals(words, at)
+                    for n in short:
+                        h = _rolled(own, n)
+                        found += [(x, d, n) for d, x in zip(hits.tolist(), h[hits].tolist())] if len(hits := passing(h)) else []
+                if len(known) > 100_000:
+                    known.clear()
+                known[key] = bool(found)
+                if found:
+                    places = [m.span() for m in WORD.finditer(t)]
+                    hs = np.array([x for x, *_ in found], dtype=np.uint64).view(np.int64).tolist()
+                    out.append((doc, key, hs, [d for _, d, _ in found], [places[at[d]][0] for _, d, _ in found], [places[at[d + n - 1]][1] for _, d, n in found], [" ".join(_cores(words, at[d : d + n])) for _, d, n in found]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    made = texts.mapInArrow(run, "doc_id long, dkey string, h array<long>, d array<int>, start array<int>, end array<int>, words array<string>")
+    return materialize(made, "windows")
+
+
+class _Alignment:
+    """Windows ``(d, pos, start, end, words)`` of one copy of an item, in order."""
+
+    __slots__ = ("windows",)
+
+    def __init__(self, first):
+        self.windows = [first]
+
+    def passage(self, size: int, slots: list[int], p: Decontamination):
+        """``(coverage, longest run, places, values, start, end)``, or None if too little is covered."""
+        covered, longest, begin, last = np.zeros(size, dtype=bool), 0, None, None
+        values: dict[int, str] = {}
+        for d, pos, _, _, words in self.windows:
             covered[pos : pos + p.width] = True
-            begin, last = runs.get(d - pos, (d, d - 2))
-            begin = d if d != last + 1 else begin
-            runs[d - pos] = (begin, d)
+            begin = d if last != (d - 1, pos - 1) else begin
+            last = (d, pos)
             longest = max(longest, d - begin + p.width)
-            pairs.update((d + j, pos + j) for j in range(p.width) if item_slots[pos + j])
+            for j, w in enumerate(words.split(" ")):
+                if slots[pos + j]:
+                    values.setdefault(pos + j, w)
         share = float(covered.mean())
         if share < p.coverage and longest < p.run:
             return None
-        maps, same = defaultdict(Counter), True
-        for d, pos in pairs:
-            value = words[at[d]].strip(STRIP).lower()
-            maps[item_slots[pos], item_words[pos]][value] += 1
-            same &= value == item_words[pos]
-        agreed = sum(max(c.values()) for c in maps.values())
-        leak = (None, share, longest, len(pairs), agreed, same, int(at[found[0][0]]), int(at[max(d for d, _ in found) + p.width - 1]))
-        return leak, not pairs or same or agreed >= p.consistency * len(pairs)
+        places = sorted(values)
+        return share, longest, places, [values[k] for k in places], self.windows[0][2], max(w[3] for w in self.windows)
 
 
-def _copies(found: list[tuple[int, int]], size: int):
-    """The windows of each copy of an item: every diagonal, then chains that go forward in both texts.
+def alignments(windows, size: int):
+    """The alignments in windows sorted by place in the document: every diagonal, and chains that go forward in both texts.
 
     A window goes on with the chain of the nearest diagonal, the longest of equals, so a copy with
-    words put in or left out is one chain; a chain ends where no window follows within the item's size.
+    words put in or left out is one chain. Diagonals and chains end where no window follows within the
+    item's size, so what is open is bounded by the item.
     """
-    by = defaultdict(list)
-    for d, pos in found:
-        by[d - pos].append((d, pos))
-    yield from by.values()
-    open_chains: list[list[tuple[int, int]]] = []
-    for d, pos in found:
-        ended = [c for c in open_chains if d - c[-1][0] > size]
-        yield from ended
-        open_chains = [c for c in open_chains if d - c[-1][0] <= size]
-        before = [c for c in open_chains if c[-1][0] < d and c[-1][1] < pos]
+    diagonals: dict[int, _Alignment] = {}
+    chains: list[_Alignment] = []
+    for w in windows:
+        d, pos = w[0], w[1]
+        for k in [k for k, x in diagonals.items() if d - k > size]:
+            yield diagonals.pop(k)
+        yield from (c for c in chains if d - c.windows[-1][0] > size and _bends(c))
+        chains = [c for c in chains if d - c.windows[-1][0] <= size]
+        if (mine := diagonals.get(d - pos)) is None:
+            diagonals[d - pos] = _Alignment(w)
+        elif mine.windows[-1][0] != d:
+            mine.windows.append(w)
+        before = [c for c in chains if c.windows[-1][0] < d and c.windows[-1][1] < pos]
         if before:
-            min(before, key=lambda c: (abs(d - pos - c[-1][0] + c[-1][1]), -len(c))).append((d, pos))
+            min(before, key=lambda c: (abs(d - pos - c.windows[-1][0] + c.windows[-1][1]), -len(c.windows))).windows.append(w)
         else:
-            open_chains.append([(d, pos)])
-    yield from open_chains
-
-
-WORD = re.compile(r"\S+")
-
-
-def _blocks(benchmark: DataFrame, p: Decontamination, id_col: str, text_col: str):
-    """The benchmark's items in blocks of about ``block_words`` words."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-words // p.block_words))
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield Index([(r["item_id"], r["text"]) for r in part.collect()], p)
+            chains.append(_Alignment(w))
+    yield from diagonals.values()
+    yield from (c for c in chains if _bends(c))
+
+
+def _bends(c: _Alignment) -> bool:
+    """Not on one diagonal, which is judged anyway."""
+    return len({d - pos for d, pos, *_ in c.windows}) > 1
+
+
+def consistent(pairs: list[tuple[int, str, str]]) -> int:
+    """Slots ``(kind, item's value, document's value)`` that follow one mapping, one to one within a kind, the most frequent first."""
+    ahead: dict[tuple[int, str], str] = {}
+    back: dict[tuple[int, str], str] = {}
+    agreed = 0
+    for (kind, a, b), n in sorted(Counter(pairs).items(), key=lambda x: (-x[1], x[0])):
+        if ahead.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a:
+            agreed += n
+    return agreed
+
+
+def _passages(met: DataFrame, p: Decontamination) -> DataFrame:
+    """``PASSAGE`` rows of windows ``(dkey, ckey, d, pos, start, end, words, size, slots)`` sorted by text, template and place."""
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.int32()]
+    names = ["dkey", "ckey", "coverage", "longest_run", "pos", "value", "start", "end"]
+
+    def rows(batches):
+        last = None
+        for b in batches:
+            for r in zip(*(b.column(i).to_pylist() for i in range(9))):
+                if r[:4] != last:  # a text that two tasks held, or a hash that both forms of an item share
+                    yield r
+                last = r[:4]
+
+    def run(batches):
+        stream, out = rows(batches), []
+        head = next(stream, None)
+        while head is not None:
+            group, size, slots = head[:2], head[7], head[8]
+
+            def own():
+                nonlocal head
+                while head is not None and head[:2] == group:
+                    yield head[2:7]
+                    head = next(stream, None)
+
+            if size < p.least_item:
+                for d, _, start, end, words in own():
+                    values = words.split(" ")
+                    out.append((*group, 1.0, size, list(range(size)), values, start, end))
+            else:
+                for a in alignments(own(), size):
+                    if x := a.passage(size, slots, p):
+                        out.append((*group, *x))
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return met.mapInArrow(run, PASSAGE)
+
+
+def _judged(passages: DataFrame, p: Decontamination) -> DataFrame:
+    """``(dkey, item_id, coverage, longest_run, n_slots, n_consistent, verbatim, start, end)`` of the passages, joined with items, whose slots are consistent."""
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+    names = ["dkey", "item_id", "coverage", "longest_run", "n_slots", "n_consistent", "verbatim", "start", "end"]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for key, item, share, longest, pos, value, start, end, words, slots in zip(*(b.column(i).to_pylist() for i in range(10))):
+                same = all(words[k] == v for k, v in zip(pos, value))
+                pairs = [(slots[k], words[k], v) for k, v in zip(pos, value)]
+                agreed = consistent(pairs)
+                if same or (len(words) >= p.least_item and agreed >= p.consistency * len(pairs)):
+                    out.append((key, item, share, longest, len(pairs), agreed, same, start, end))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return passages.mapInArrow(run, "dkey string, item_id long, coverage double, longest_run long, n_slots long, n_consistent long, verbatim boolean, start long, end long")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, p: Decontamination, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, dkey)`` of the texts with windows of the benchmark, and every leak by text and item."""
+    items = _items(benchmark, p, item_col, item_text_col)
+    texts = keyed_texts(docs, id_col, text_col).withColumn("dkey", F.md5("text"))
+    windows = _windows(texts, *_filter(items, p), p)
+    mine = windows.select("dkey", F.explode(F.arrays_zip("h", "d", "start", "end", "words")).alias("w")).select("dkey", "w.*")
+    # Items of one template share its windows; which of them a passage follows is judged afterwards.
+    templates = items.dropDuplicates(["ckey"])
+    theirs = templates.select("ckey", F.explode(F.arrays_zip("hashes", "pos")).alias("w")).select("ckey", F.col("w.hashes").alias("h"), F.col("w.pos").alias("pos"))
+    about = templates.select("ckey", F.size("words").alias("size"), "slots")
+    met = mine.join(theirs, "h").join(about, "ckey")
+    met = met.select("dkey", "ckey", "d", "pos", "start", "end", "words", "size", "slots").repartition("dkey", "ckey").sortWithinPartitions("dkey", "ckey", "d", "pos")
+    passages = _passages(met, p).join(items.select("item_id", "ckey", F.col("words").alias("item_words"), F.col("slots").alias("item_slots")), "ckey")
+    judged = _judged(passages.select("dkey", "item_id", "coverage", "longest_run", "pos", "value", "start", "end", "item_words", "item_slots"), p)
+    order = [F.col("coverage"), F.col("longest_run"), F.col("verbatim"), (-F.col("start")).alias("m"), F.col("end"), F.col("n_slots"), F.col("n_consistent")]
+    best = judged.groupBy("dkey", "item_id").agg(F.max(F.struct(*order)).alias("x"))
+    leaks = best.select("dkey", "item_id", "x.coverage", "x.longest_run", "x.n_slots", "x.n_consistent", "x.verbatim", (-F.col("x.m")).alias("start"), "x.end")
+    leaks = materialize(leaks, "leaks")
+    discard(items)
+    return windows, leaks
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``(doc_id, item_id, coverage, longest_run, n_slots, n_consistent, verbatim, start, end)``, one row per leak.
+    """``(doc_id, item_id, coverage, longest_run, n_slots, n_consistent, verbatim, start, end)``, one row per document and item.
 
-    start and end are code points of the passage. Null texts and items never match; repeated
-    documents give repeated rows; an item_id that several items have is reported once a document,
-    with its best coverage; empty tables give no rows. One pass over the documents per block of the
-    benchmark, without a shuffle.
+    start and end are code points of the passage. Null and wordless texts and items never match;
+    repeated rows of a document give one row; an item_id that several items have is reported once a
+    document, with its best passage; empty tables give no rows. A null doc_id or item_id stays null.
+    One pass over the documents, from which only windows that pass the benchmark's filter are
+    shuffled. A document's words are held in a task.
     """
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-    names = ["doc_id", "item_id", "coverage", "longest_run", "n_slots", "n_consistent", "verbatim", "start", "end"]
-    texts = keyed_texts(docs, id_col, text_col)
-
-    def scan(index):
-        def run(batches):
-            for b in slices(batches):
-                out = []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if found := index.leaks(t):
-                        places = [m.span() for m in WORD.finditer(t)]
-                        out += [(d, *f[:6], places[f[6]][0], places[f[7]][1]) for f in found]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-
-        return texts.mapInArrow(run, "doc_id long, item_id long, coverage double, longest_run long, n_slots long, n_consistent long, verbatim boolean, start long, end long")
-
-    parts = [scan(i) for i in _blocks(benchmark, p, item_col, item_text_col)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    windows, found = _found(docs, benchmark, p, id_col, text_col, item_col, item_text_col)
+    return windows.select("doc_id", "dkey").distinct().join(found, "dkey").drop("dkey")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination(), text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` whose text leaks no item."""
-    at, schema = docs.columns.index(text_col), docs.schema
-    out = docs
-    for index in _blocks(benchmark, p, "item_id", "text"):
-
-        def run(batches, index=index):
-            for b in slices(batches):
-                yield b.filter(pa.array([not index.leaks(t or "") for t in b.column(at).to_pylist()], pa.bool_()))
-
-        out = out.mapInArrow(run, schema)
-    return out
+    """All rows and columns of ``docs`` whose text leaks no item; rows with a null or empty text stay, repeated rows share their fate, an empty table stays empty."""
+    windows, found = _found(docs.select(F.lit(0).alias("doc_id"), F.col(text_col)), benchmark, p, "doc_id", text_col, "item_id", "text")
+    discard(windows)
+    key = "_text_key"
+    while key in docs.columns:
+        key += "_"
+    bad = found.select(F.col("dkey").alias(key)).distinct()
+    return docs.withColumn(key, F.md5(F.coalesce(F.col(text_col), F.lit("")))).join(bad, key, "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
