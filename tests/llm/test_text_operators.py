@@ -306,19 +306,72 @@ def test_permutation_is_a_keyed_bijection(n):
         assert (a != materialise.permute(np.arange(n), n, 6)).any()
 
 
-def test_shards_hold_every_id_at_a_fixed_stride(spark, awkward, nothing):
-    o = materialise.Order(length=32, shard=16)
-    out = materialise.shards(awkward, o).orderBy("shard").collect()
-    assert [r["first_slot"] for r in out] == [16 * i for i in range(len(out))] and all(len(r["payload"]) == r["n_sequences"] * r["stride"] for r in out)
+def slow_slot(index, n, key, rounds):
+    """The keyed permutation of one number, with Python's own integers."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+        return x ^ (x >> 31)
+
+    half = max(1, (max(1, (n - 1).bit_length()) + 1) // 2)
+    x = index
+    while True:
+        left, right = x >> half, x & ((1 << half) - 1)
+        for r in range(1, rounds + 1):
+            left, right = right, left ^ (mix(right + mix(key + r * 0x9E3779B97F4A7C15 & m) & m) & ((1 << half) - 1))
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def slow_shards(docs, o):
+    """The bytes of all sequences in training order."""
     e = tokens.encoder(tokens.default_path())
-    want = Counter(i for _, t, *_ in AWKWARD for i in [*e.ids(t or ""), 0])
-    got = Counter(np.frombuffer(b"".join(bytes(r["payload"]) for r in out), dtype="<u2").tolist())
-    got[0] -= sum(r["n_sequences"] for r in out) * 32 - sum(want.values())
-    assert got == want and materialise.shards(nothing, o).collect() == []
-    written = spark.createDataFrame(out)
-    whole = b"".join(bytes(r["payload"]) for r in out)
-    resumed = {r["slot"]: bytes(r["sequence"]) for r in materialise.read_from(written, 21, o).collect()}
-    assert resumed == {s: whole[s * 64 : s * 64 + 64] for s in range(21, len(whole) // 64)}
+    ordered = sorted(docs, key=lambda r: (r[0] is None, r[0] or 0, spark_hash(r[1] or "")))
+    ids = [i for _, t, *_ in ordered for i in [*e.ids(t or ""), 0]]
+    ids += [0] * (-len(ids) % o.length)
+    n = len(ids) // o.length
+    out = [None] * n
+    for k in range(n):
+        out[slow_slot(k, n, o.key, o.rounds)] = np.array(ids[k * o.length : (k + 1) * o.length], dtype="<u2").tobytes()
+    return out
+
+
+def spark_hash(t):
+    h = xxhash.xxh64_intdigest(t.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_key_and_documents_alone_decide_the_order(spark, awkward, nothing, tmp_path, parts):
+    o = materialise.Order(length=32, shard=16)
+    want = slow_shards(AWKWARD, o)
+    uri = f"file://{tmp_path}/shards"
+    materialise.write_shards(awkward.repartition(parts), uri, o)
+    assert [x.tobytes() for x in materialise.read_from(uri)] == want
+    assert [x.tobytes() for x in materialise.read_from(uri, 21)] == want[21:]
+    assert not [x for x in (tmp_path / "shards").iterdir() if x.name.startswith("draft")]
+    # A run that is repeated writes what is missing and leaves the rest.
+    (tmp_path / "shards" / "shard-000000001.bin").unlink()
+    (tmp_path / "shards" / "shard-000000000.bin").write_bytes(b"left alone")
+    again = materialise.write_shards(awkward, uri, o)
+    assert (tmp_path / "shards" / "shard-000000000.bin").read_bytes() == b"left alone"
+    assert (tmp_path / "shards" / "shard-000000001.bin").read_bytes() == b"".join(want[16:32])
+    assert sorted((r["shard"], r["n_sequences"]) for r in again.collect()) == [(i, min(16, len(want) - 16 * i)) for i in range(-(-len(want) // 16))]
+    with pytest.raises(ValueError):
+        materialise.write_shards(awkward, uri, materialise.Order(length=32, shard=16, key=1))
+    assert materialise.write_shards(nothing, f"file://{tmp_path}/none", o).collect() == [] and list(materialise.read_from(f"file://{tmp_path}/none")) == []
+
+
+def test_the_shard_query_matches_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    o = materialise.Order()
+    want = slow_shards(docs, o)
+    got = materialise.op8_training_order(spark, "/root/testdata/sf0.001").orderBy("shard").collect()
+    assert b"".join(bytes(r["payload"]) for r in got) == b"".join(want)
+    assert all(r["payload_sha256"] == hashlib.sha256(bytes(r["payload"])).hexdigest() and r["stride"] == 4096 for r in got)
 
 
 # Chat
