@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -199,15 +200,93 @@ def test_field_on_held_out_lines():
     assert hit / made > 0.9 and hit / there > 0.9
 
 
-def test_viterbi_is_the_best_path():
+def test_field_on_lines_of_other_makes():
+    """Formats that the made lines do not have: keys of letters only, configuration files, headers, code."""
+    field = secrets.train()
+    secret = [
+        ('client_secret is "{}"', "QwErTyUiOpAsDfGhJkLz"), ("Authorization: Bearer {}", "QwErTyUiOpAsDfGhJkLzXcVbNm"), ("export AWS_SECRET={}", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+        ('  "apiToken": "{}",', "d2f1c7a09be84d5f9a3c6e7b"), ("curl -H 'x-api-key: {}' https://host.example", "9f8e7d6c5b4a39281706f5e4d3c2b1a0"), ("--token {} --verbose", "abcDEF123ghiJKL456mno"),
+        ("mysql://root:{}@db.example:3306/app", "Zx81kQ92mLp03Wq7rT"), ("<password>{}</password>", "pA55w0rdXy12Qz"), ("const key = '{}';", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"), ("set the token to {} please", "8c1f44b09e7d2a6635af"),
+    ]
+    hit = 0
+    for form, s in secret:
+        text = form.format(s)
+        at = text.index(s)
+        hit += any(a <= at + 2 and at + len(s) - 2 <= b for a, b in field.spans(text))
+    assert hit >= 9
+    clean = [
+        "Donaudampfschifffahrtsgesellschaft and Kraftfahrzeughaftpflichtversicherung are long words", "see https://example.com/a/b1234567/c.html now", "uuid 550e8400-e29b-41d4-a716-446655440000 of the row",
+        "call +49 170 1234567 or (030) 123-4567 on 2024-10-12", "the password was forgotten and the secret is out", "the token economy, described in chapter 12", "version v2.13.1045 of the library", "internationalisation of WHITESPACE handling",
+    ]
+    assert sum(bool(field.spans(t)) for t in clean) <= 1
+
+
+def chain_score(path, emit, trans):
+    return sum(emit[i, t] for i, t in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])) + (secrets.BARRED if path[0] == secrets.I else 0)
+
+
+def best_path(emit, trans):
+    """Viterbi over every token of the chain."""
+    path = {t: ((secrets.BARRED if t == secrets.I else 0) + emit[0, t], [t]) for t in range(3)}
+    for e in emit[1:]:
+        path = {t: max(((s + trans[k, t] + e[t], [*p, t]) for k, (s, p) in path.items()), key=lambda x: x[0]) for t in range(3)}
+    return max(path.values(), key=lambda x: x[0])[1]
+
+
+@pytest.mark.parametrize("shift", [0.0, -2.0, -6.0])
+def test_stretches_are_the_best_path_of_the_whole_chain(shift):
     r = np.random.default_rng(1)
-    trans = r.normal(size=(3, 3))
-    trans[secrets.O, secrets.I] = secrets.BARRED
-    for n in (1, 2, 5):
-        emit = r.normal(size=(n, 3))
-        score = lambda path: sum(emit[i, t] for i, t in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])) + (secrets.BARRED if path[0] == secrets.I else 0)  # noqa: E731, B023
-        best = max(np.ndindex(*[3] * n), key=score)
-        assert tuple(secrets.viterbi(emit, trans)) == best
+    for n in (1, 2, 5, 6, 400):
+        trans = r.normal(size=(3, 3))
+        trans[secrets.O, secrets.I] = secrets.BARRED
+        field = secrets.Field({}, np.zeros((0, 3)), trans)
+        emit = r.normal(size=(n, 3)) * 2
+        emit[:, :2] += shift
+        tags = [secrets.O] * n
+        for a, own in field.tags(emit):
+            tags[a : a + len(own)] = own
+        best = max(np.ndindex(*[3] * n), key=lambda p: chain_score(p, emit, trans)) if n < 7 else best_path(emit, trans)
+        assert chain_score(tags, emit, trans) == pytest.approx(chain_score(best, emit, trans))
+    assert shift > -6 or sum(len(t) for _, t in field.tags(emit)) < n  # most tokens need no decoding
+
+
+def test_a_run_of_any_length_is_one_chain():
+    field = secrets.train()
+    end = ' token = "A1b2C3d4E5f6G7h8I9j0K1l2M3n4"'
+    for n in (10, 4095, 4097, 9000):
+        text = "/".join(["ab1"] * n) + end
+        assert [text[a:b] for a, b in field.spans(text)][-1] == "A1b2C3d4E5f6G7h8I9j0K1l2M3n4"
+
+
+def test_the_secret_query_matches_brute_force(spark):
+    """Counts, digests and spans of the whole table against patterns of their own and a decoding of every token."""
+    field, checked = secrets.train(), 0
+    rows_ = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assign = re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)")
+    for r in secrets.op9_secrets(spark, "/root/testdata/sf0.001").collect():
+        t = rows_[r["doc_id"]]
+        base = [("assign", *m.span()) for m in assign.finditer(t) if len(m.group(2)) >= 8]
+        base += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 16] + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 32]
+        base.sort(key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+        own = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(own(base).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[0] == k for s in base) for k in ("assign", "access", "hex")]
+        tokens_ = secrets.TOKEN.findall(t)
+        if len(tokens_) > 3000:
+            continue
+        checked += 1
+        extra, begin, at = [], None, 0
+        tags = best_path(field.emissions(tokens_, secrets.file_kind(t)), field.trans) if tokens_ else []
+        for tag, token in [*zip(tags, tokens_), (secrets.O, "")]:
+            if begin is not None and tag != secrets.I:
+                extra.append(("crf", begin, at))
+                begin = None
+            if tag == secrets.B:
+                begin = at + len(token) - len(token.lstrip())
+            at += len(token)
+        extra = [s for s in extra if s[2] - s[1] >= 8 and not any(s[1] < e and a < s[2] for _, a, e in base)]
+        assert r["spans"] == own(sorted(base + extra, key=lambda s: (s[1], ("assign", "access", "hex", "crf").index(s[0]))))
+    assert checked > 150
 
 
 def test_secrets_keep_base_and_add(spark, awkward, nothing):
