@@ -1,9 +1,10 @@
 """Embedding near-duplicates: exact threshold links by dual traversal of cover trees.
 
-Distinct vectors are dealt to blocks of near ones. Each block becomes a cover tree: nested levels of
-halving radius whose nodes know their exact covering radius. Pairs of blocks are traversed level by
-level; a pair of nodes whose distance exceeds the threshold by more than both radii is pruned, one
-that lies within it by as much is accepted whole, and only what is left is compared vector by vector.
+Distinct vectors are dealt to balls around pivots, and balls to blocks. Each block becomes a cover
+tree: nested levels of halving radius whose nodes know their exact covering radius. Trees meet only
+where their balls come within the threshold; such pairs are traversed level by level: a pair of nodes
+whose distance exceeds the threshold by more than both radii is pruned, one that lies within it by as
+much is accepted whole, and only what is left is compared vector by vector.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ontoweave.llm.common import table
 from ontoweave.plans.components import components
-from ontoweave.plans.storage import materialize
+from ontoweave.plans.storage import discard, materialize
 
 #: Pairs of vectors that are compared at once.
 CHUNK = 100_000
@@ -28,14 +29,15 @@ CHUNK = 100_000
 class CoverTree:
     """Parameters.
 
-    cosine: least cosine of a link. pivots: vectors (those with the smallest hash) that stand at the
-    top of all trees and deal the others to blocks. block: vectors of a block, whatever the input.
-    levels: halvings of the radius below the root's 2. tasks: most partitions for pairs of blocks.
+    cosine: least cosine of a link. pivots: most vectors (those with the smallest hash, one for every
+    ``block``) that stand at the top of all trees and deal the others to balls. block: vectors of a
+    block, whatever the input; a larger ball is split by hash. levels: halvings of the radius below
+    the root's 2. tasks: most partitions for pairs of blocks.
     """
 
     cosine: float = 0.9
-    pivots: int = 256
-    block: int = 4096
+    pivots: int = 4096
+    block: int = 8192
     levels: int = 4
     tasks: int = 4096
 
@@ -263,35 +265,36 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def links(vectors: DataFrame, p: CoverTree = CoverTree()) -> tuple[DataFrame, DataFrame]:
     """``(id, links)`` and ``(u, v)``: weighted links of distinct ``(id, weight, vector)`` rows of one length, and edges that span their components."""
-    spark = vectors.sparkSession
     n = vectors.count()
     order = F.xxhash64("id")
-    tops = vectors.select("id", "vector").orderBy(order, "id").limit(p.pivots).collect()
+    tops = vectors.select("id", "vector").orderBy(order, "id").limit(max(1, min(p.pivots, -(-n // p.block)))).collect()
     pivot = np.array([r["vector"] for r in tops], dtype=np.float64).reshape(len(tops), -1)
-    pivot = (pivot / np.linalg.norm(pivot, axis=1, keepdims=True)).astype(np.float32) if len(pivot) else pivot
+    pivot = pivot / np.linalg.norm(pivot, axis=1, keepdims=True) if len(pivot) else pivot
 
     def nearest(batches):
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(2))
-                home = ((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32) @ pivot.T).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32))], ["id", "weight", "vector", "home"])
-
-    dealt = materialize(vectors.select("id", "weight", "vector").mapInArrow(nearest, "id long, weight long, vector array<double>, home int"), "vectors")
-    sizes = {r["home"]: r["n"] for r in dealt.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``pivots`` rows
-    first, parts, blocks, room = np.zeros(p.pivots, dtype=np.int64), np.ones(p.pivots, dtype=np.int64), 0, 0
-    for home in sorted(sizes):  # small homes share a block, large ones are split by hash
-        if sizes[home] > p.block:
-            parts[home] = -(-sizes[home] // p.block)
-            first[home], blocks, room = blocks, blocks + parts[home], 0
-        else:
-            if sizes[home] > room:
-                blocks, room = blocks + 1, p.block
-            first[home] = blocks - 1
-            room -= sizes[home]
-    blocks = int(max(1, blocks))
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                home = (x.astype(np.float32) @ pivot.astype(np.float32).T).argmax(axis=1)
+                far = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", x, pivot[home])))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32)), pa.array(far)], ["id", "weight", "vector", "home", "far"])
+
+    dealt = materialize(vectors.select("id", "weight", "vector").mapInArrow(nearest, "id long, weight long, vector array<double>, home int, far double"), "vectors")
+    balls = dealt.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()  # at most ``pivots`` rows
+    homes = len(pivot)
+    radius, parts = np.full(homes, -np.inf), np.zeros(homes, dtype=np.int64)
+    for r in balls:
+        radius[r["home"]], parts[r["home"]] = r["radius"], -(-r["n"] // p.block)
+    first = np.cumsum(parts) - parts
+    blocks = int(max(1, parts.sum()))
+    home_of = np.repeat(np.arange(homes), parts)
+    # Balls farther apart than the threshold hold no pair; the other balls' blocks meet.
+    between = np.sqrt(np.maximum(0.0, 2 - 2 * (pivot @ pivot.T))) if homes else np.zeros((0, 0))
+    meets = between <= np.sqrt(2 - 2 * p.cosine) + radius[:, None] + radius[None, :] + 1e-6
+    np.fill_diagonal(meets, True)
     at = F.array(*[F.lit(int(v)) for v in first])
-    of = F.array(*[F.lit(int(v)) for v in parts])
+    of = F.array(*[F.lit(max(1, int(v))) for v in parts])
     block = (F.element_at(at, F.col("home") + 1) + F.pmod(F.xxhash64("id", F.lit(1)), F.element_at(of, F.col("home") + 1))).cast("int")
 
     def grow(batches):
@@ -307,7 +310,7 @@ def links(vectors: DataFrame, p: CoverTree = CoverTree()) -> tuple[DataFrame, Da
             single = raw[o].astype(np.float32)  # what came as single precision travels as such
             blob = _dump(tree | {"ids": ids[o], "weight": weight[o], "raw": single if (single == raw[o]).all() else raw[o]})
             me = int(k)
-            for other in range(blocks):
+            for other in np.flatnonzero(meets[home_of[me]][home_of]).tolist():
                 low, high = min(me, other), max(me, other)
                 pair = high * (high + 1) // 2 + low
                 yield pa.RecordBatch.from_arrays([pa.array([pair], pa.int64()), pa.array([me], pa.int32()), pa.array([blob], pa.binary())], ["pair", "block", "tree"])
@@ -335,6 +338,7 @@ def links(vectors: DataFrame, p: CoverTree = CoverTree()) -> tuple[DataFrame, Da
     trees = dealt.select("id", "weight", "vector", block.alias("block")).repartitionById(blocks, F.col("block")).mapInArrow(grow, "pair long, block int, tree binary")
     met = trees.repartitionById(tasks, F.pmod("pair", F.lit(tasks)).cast("int")).sortWithinPartitions("pair", "block").mapInArrow(meet, "id long, links long, root long")
     met = materialize(met, "links")
+    discard(dealt)
     return met.groupBy("id").agg(F.sum("links").alias("links")), met.select(F.col("id").alias("u"), F.col("root").alias("v"))
 
 
@@ -344,14 +348,20 @@ def near_duplicates(vectors: DataFrame, p: CoverTree = CoverTree(), id_col: str
     Rows whose vector is null, empty, zero, or holds null or non-finite components, and rows without
     an id, link with nothing. Vectors of different lengths never link; each length is traversed by
     itself. Equal vectors are reduced to one of their weight before trees are built; repeated rows
-    count as vectors of their own. An empty table gives no rows.
+    count as vectors of their own. Vectors whose squares would leave the range of doubles are scaled
+    by a power of two, which changes no cosine. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     sound = F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0)
-    rows = rows.withColumn("vector", F.when(sound, F.transform("vector", lambda x: x + F.lit(0.0))))
-    groups = rows.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    largest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    scale = F.when((largest > 1e100) | (largest < 1e-100), F.pow(F.lit(2.0), -F.floor(F.log2(largest)))).otherwise(F.lit(1.0))
+    rows = rows.withColumn("sound", sound).withColumn("scale", F.when(F.col("sound"), scale))
+    rows = rows.withColumn("vector", F.when(F.col("sound"), F.transform("vector", lambda x: x * F.col("scale") + F.lit(0.0))))
+    # Rows find their group by two hashes of its vector, so that vectors are not moved again.
+    rows = rows.select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
+    groups = rows.where("vector IS NOT NULL").groupBy("h1", "h2", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"))
     groups = materialize(groups, "distinct-vectors")
     lengths = [r["n"] for r in groups.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]
     sums, edges = None, None
@@ -364,9 +374,10 @@ def near_duplicates(vectors: DataFrame, p: CoverTree = CoverTree(), id_col: str
     found = components(edges)
     least = found.groupBy("component").agg(F.min("node").alias("component_id"))
     linked = found.join(least, "component").select(F.col("node").alias("id"), "component_id")
-    whole = groups.join(sums, "id", "left").join(linked, "id", "left")
-    whole = whole.select("vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    out = rows.join(whole, "vector", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    whole = groups.select("h1", "h2", "id", "weight").join(sums, "id", "left").join(linked, "id", "left")
+    whole = whole.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    own = rows.select("vec_id", F.when(F.col("vector").isNotNull(), F.col("h1")).alias("h1"), "h2")
+    out = own.join(whole, ["h1", "h2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

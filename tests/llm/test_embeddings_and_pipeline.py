@@ -96,3 +96,20 @@ def test_every_query_runs_whole(spark):
 
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_vectors_of_any_size_link_by_cosine(spark):
+    one = [3.0, 4.0, 0.5]
+    rows = [(i, [x * s for x in one]) for i, s in enumerate((1.0, 1e200, 1e-200, 1e300, 1e-300))] + [(9, [1e300, -1e300, 1e300])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (4, 0) for i in range(5)} | {9: (0, 9)}
+
+
+def test_balls_far_apart_do_not_meet(spark):
+    """Clusters at right angles: the trees that travel are those of one cluster."""
+    r = np.random.default_rng(4)
+    rows = [(i, (np.eye(16)[i % 8] + 0.01 * r.normal(size=16)).tolist()) for i in range(400)]
+    p = covertree.CoverTree(block=50, pivots=8)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in covertree.near_duplicates(df, p).collect()}
+    assert got == {i: (49, i % 8) for i in range(400)} == brute(rows, 0.9)
