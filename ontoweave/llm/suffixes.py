@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.llm.common import slices, table
-from ontoweave.plans.storage import materialize
+from ontoweave.plans.storage import materialize, shared_dir
 
 NO_ID = np.iinfo(np.int64).max
 _PRIME = 0x9E3779B97F4A7C15
@@ -476,10 +476,13 @@ def write_blocks(docs: DataFrame, p: Repeats, id_col: str, text_col: str, bucket
 
     spark = docs.sparkSession
     name = f"ontoweave_blocks_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"))
     made = rows.mapInArrow(run, "block long, docs binary")
-    made.write.format("parquet").option("compression", "none").bucketBy(buckets, "block").saveAsTable(name)
-    return spark.table(name)
+    made.write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, "block").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry alone; the files are in the shared folder
+    return out
 
 
 def _open(blob: bytes, p: Repeats) -> tuple[Block, np.ndarray]:
@@ -514,7 +517,8 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
 
     Texts are UTF-8 bytes, a null text is empty. Strings never cross documents and are judged on the
     input. Rows with equal doc_id do not count as smaller than one another; rows without doc_id come
-    after all others and do not count for one another. An empty table gives no rows.
+    after all others and do not count for one another. An empty table gives no rows. A block is one
+    row, so a single text may not reach 2 GB.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
