@@ -291,3 +291,12 @@ def classes_of(x: Any) -> set[str] | None:
             return None
         out |= found
     return out
+
+
+def mentioned(e) -> frozenset[str]:
+    """The variables of an expression."""
+    if isinstance(e, Ref):
+        return frozenset({e.name})
+    if isinstance(e, tuple | list):
+        return frozenset().union(*map(mentioned, e))
+    return frozenset().union(*map(mentioned, vars(e).values())) if hasattr(e, "__dataclass_fields__") else frozenset()

@@ -265,31 +265,69 @@ class Compiler:
 
     def _minus(self, q: A.Minus) -> Solutions:
         a, b = self.solve(q.left), self.solve(q.right)
-        shared = sorted(a.names & b.names)
-        if not shared:
+        if not a.names & b.names:
             return a
-        return Solutions(self._semi(a, b, "left_anti", shared), a.sure, a.maybe, a.resources)
+        return Solutions(self._semi(a, b, True, True), a.sure, a.maybe, a.resources)
 
     def _exists(self, q: A.Exists) -> Solutions:
-        a, b = self.solve(q.child), self.solve(q.pattern)
+        a, inner, conditions = self.solve(q.child), q.pattern, []
+        while isinstance(inner, A.Filter):  # a filter of the pattern may speak of the row's own variables
+            conditions.append(inner.condition)
+            inner = inner.child
+        b = self.solve(inner)
+        ours = [c for c in conditions if A.mentioned(c) - b.names]
+        for c in conditions:
+            if c not in ours:
+                b = Solutions(b.df.where(self.condition(c)), b.sure, b.maybe, b.resources)
+        condition = reduce(lambda x, y: x & y, [F.coalesce(self.condition(c), F.lit(False)) for c in ours]) if ours else None
+        extra = frozenset().union(*map(A.mentioned, ours)) & b.names - a.names
+        return Solutions(self._semi(a, b, q.negated, False, condition, extra), a.sure, a.maybe, a.resources)
+
+    def _semi(self, a: Solutions, b: Solutions, anti: bool, overlap: bool, condition: Column | None = None, extra: frozenset = frozenset()) -> DataFrame:
+        """Rows of ``a`` with (``anti``: without) a compatible row of ``b``; with ``overlap`` they must share a bound variable.
+
+        Both sides are split by which of the shared variables that may be unbound are bound, so that
+        every case is an equi-join on those bound on both sides. ``condition`` may speak of both sides'
+        columns; ``extra`` are variables of ``b`` alone that it needs.
+        """
         shared = sorted(a.names & b.names)
-        return Solutions(self._semi(a, b, "left_anti" if q.negated else "left_semi", shared), a.sure, a.maybe, a.resources)
+        right_all = b.df.select(*[F.col(c).alias(f"{c}__r") for n in shared for c in cols(n)], *[F.col(c) for n in sorted(extra) for c in cols(n)])
+        if shared or extra:
+            right_all = right_all.distinct()
+        bound = lambda df, case, end: reduce(lambda d, x: d.where(F.col(x[0] + end).isNotNull() if x[1] else F.col(x[0] + end).isNull()), case, df)
+        cases = lambda names: [tuple(zip(names, flags)) for flags in product((True, False), repeat=len(names))]
+        out = []
+        for case in cases([n for n in shared if n in a.maybe]):
+            left = bound(a.df, case, "")
+            unbound = {n for n, is_bound in case if not is_bound}
+            kept = []
+            for other in cases([n for n in shared if n in b.maybe]):
+                keys = [n for n in shared if n not in unbound and (n, False) not in other]
+                if not keys and overlap:
+                    continue
+                right = bound(right_all, other, "__r")
+                on = [self._same(n, a, b) for n in keys] + ([condition] if condition is not None else [])
+                if not on:  # any row will do
+                    right, on = right.limit(1), [F.lit(True)]
+                on = reduce(lambda x, y: x & y, on)
+                if not anti:
+                    kept.append(left.join(right, on, "left_semi"))
+                left = left.join(right, on, "left_anti")
+            out += [left] if anti else kept
+        return reduce(lambda x, y: x.unionByName(y), out)
 
-    def _semi(self, a: Solutions, b: Solutions, how: str, shared: list[str]) -> DataFrame:
-        right = b.df.select(*[F.col(c).alias(f"{c}__r") for n in shared for c in cols(n)]).distinct() if shared else b.df.limit(1)
-        if not shared:
-            return a.df.join(right.select(F.lit(1).alias("_any")), F.lit(True), how)
-        on = []
-        for n in shared:
-            same = F.col(n) == F.col(f"{n}__r")
-            if n not in a.resources and n not in b.resources:
-                same = same & (F.col(f"{n}__k") == F.col(f"{n}__k__r")) & (F.coalesce(F.col(f"{n}__t"), F.lit("")) == F.coalesce(F.col(f"{n}__t__r"), F.lit("")))
-            elif n not in a.resources or n not in b.resources:
-                same = same & (F.col(f"{n}__k") != "lit") & (F.col(f"{n}__k__r") != "lit")
-            if n in a.maybe or n in b.maybe:
-                same = same | F.col(n).isNull() | F.col(f"{n}__r").isNull()
-            on.append(same)
-        return a.df.join(right, reduce(lambda x, y: x & y, on), how)
+    @staticmethod
+    def _same(n: str, a: Solutions, b: Solutions) -> Column:
+        """The same term on both sides, the right one's columns ending in ``__r``."""
+        lex, kind, dt, lang = cols(n)
+        same = F.col(lex) == F.col(f"{lex}__r")
+        if n in a.resources and n in b.resources:
+            return same
+        if n in a.resources or n in b.resources:
+            return same & (F.col(kind) != "lit") & (F.col(f"{kind}__r") != "lit")
+        for c in (kind, dt, lang):
+            same = same & (F.coalesce(F.col(c), F.lit("")) == F.coalesce(F.col(f"{c}__r"), F.lit("")))
+        return same
 
     # Rows
     def _filter(self, q: A.Filter) -> Solutions:
@@ -349,24 +387,34 @@ class Compiler:
 
     def _group(self, q: A.Group) -> Solutions:
         a = self.solve(q.child)
-        aggregates = []
+        aggregates, terms = [], {}
         for name, fn, e, distinct in q.aggregates:
+            if fn == "COUNT" and e is None:
+                aggregates.append(F.count(F.lit(1)).alias(name))
+                continue
+            v = self.value(e)
             if fn == "COUNT":
-                if e is None:
-                    c = F.count(F.lit(1))
-                else:
-                    v = self.value(e)
-                    c = F.countDistinct(F.struct(v.lex, F.coalesce(v.kind, F.lit("")), F.coalesce(v.dt, F.lit("")))) if distinct else F.count(v.lex)
-                    if distinct:
-                        c = F.countDistinct(F.when(v.lex.isNotNull(), F.struct(v.lex, F.coalesce(v.kind, F.lit("")), F.coalesce(v.dt, F.lit("")))))
+                term = F.when(v.lex.isNotNull(), F.struct(v.lex, *(F.coalesce(c, F.lit("")) for c in (v.kind, v.dt, v.lang))))
+                aggregates.append((F.countDistinct(term) if distinct else F.count(v.lex)).alias(name))
+            elif fn in ("SUM", "AVG"):
+                aggregates.append({"SUM": F.sum_distinct if distinct else F.sum, "AVG": F.avg}[fn](v.number()).alias(name))
+            elif fn.startswith("GROUP_CONCAT"):
+                texts = F.collect_set(v.lex) if distinct else F.collect_list(v.lex)
+                aggregates.append(F.array_join(F.sort_array(texts), fn[len("GROUP_CONCAT:") :]).alias(name))
             else:
-                v = self.value(e).number()
-                c = {"SUM": F.sum_distinct if distinct else F.sum, "MIN": F.min, "MAX": F.max, "AVG": F.avg, "SAMPLE": F.min}[fn](v)
-            aggregates.append(c.alias(name))
+                # Terms in SPARQL's order: blank nodes, IRIs, numbers by value, other literals.
+                rank = F.when(v.kind == "bnode", 0).when(v.kind == "iri", 1).when(v.number().isNotNull(), 2).otherwise(3)
+                term = F.struct(rank.alias("rank"), v.number().alias("n"), v.lex.alias("lex"), v.kind.alias("kind"), v.dt.alias("dt"), v.lang.alias("lang"))
+                aggregates.append((F.max if fn == "MAX" else F.min)(F.when(v.lex.isNotNull(), term)).alias(f"{name}__term"))
+                terms[name] = f"{name}__term"
         groups = [c for k in q.keys for c in cols(k)]
         df = a.df.groupBy(*groups).agg(*aggregates) if groups else a.df.agg(*aggregates)
-        for name, fn, *_ in q.aggregates:  # the column keeps its type; its term columns say it is a number
-            dt = T.INTEGER if fn == "COUNT" else T.DOUBLE
+        for name, fn, *_ in q.aggregates:  # a number's column keeps its type; its term columns say it is a number
+            if name in terms:
+                parts = [F.col(f"{terms[name]}.{x}") for x in ("lex", "kind", "dt", "lang")]
+                df = df.withColumns(dict(zip(cols(name), parts))).drop(terms[name])
+                continue
+            dt = T.INTEGER if fn == "COUNT" else T.STRING if fn.startswith("GROUP_CONCAT") else T.DOUBLE
             df = df.withColumns(dict(zip(cols(name)[1:], (F.lit("lit"), F.lit(dt), F.lit(None).cast("string")))))
         return Solutions(df, a.sure & set(q.keys), (a.maybe & set(q.keys)) | {x[0] for x in q.aggregates}, a.resources & set(q.keys))
 

@@ -207,10 +207,7 @@ def members(kg, e, edges: DataFrame | None = None, types: DataFrame | None = Non
                 d = d.join(go(filler[0]).select(F.col("x").alias("o")), "o", "left_semi")
             if n == 1:
                 return d.select(F.col("s").alias("x")).distinct()
-            apart = kg.member_pairs("DifferentIndividuals")
-            both = apart.union(apart.select("b", "a")).toDF("o", "other")
-            found = d.join(both, "o").join(d.withColumnRenamed("o", "other"), ["s", "other"]).groupBy("s", "o").agg(F.countDistinct("other").alias("n")).where(F.col("n") >= n - 1)
-            return found.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n).select(F.col("s").alias("x"))
+            return reason.with_apart(d, kg.member_pairs("DifferentIndividuals"), n).select(F.col("s").alias("x"))
         case ("dsome", p, r):
             return kg.triples.where((F.col("p") == p) & (F.col("o_kind") == "lit")).where(in_range(r)).select(F.col("s").alias("x")).distinct()
         case ("dvalue", p, (lex, dt, *_)):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ontoweave.functions import terms as T
 from ontoweave.plans.closure import closure
 from ontoweave.plans.components import components
-from ontoweave.plans.storage import materialize
+from ontoweave.plans.storage import discard, materialize
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -123,40 +123,60 @@ def instances(kg, cls: str, inherited: bool = True) -> DataFrame:
 RULES = ("property_hierarchy", "inverse", "symmetric", "transitive", "chain", "reflexive", "domain", "range", "subclass", "functional", "inverse_functional", "has_key", "same_as")
 
 
-def property_edges(kg, rules=None, rounds: int = 50) -> DataFrame:
-    """``(s, p, o)`` with all edges that property axioms entail, to a fixpoint."""
+def property_edges(kg, rules=None) -> DataFrame:
+    """``(s, p, o)`` with all edges that property axioms entail.
+
+    Rounds join what the round before added with all that is known, until nothing is new. A transitive
+    property doubles its paths each round, and a chain that ends (or begins) in itself takes all its
+    other property's paths at once, so rounds grow with the logarithm of the longest path.
+    """
     on = set(RULES if rules is None else rules)
-    e = materialize(kg.edges().distinct(), "edges")
+    known = new = materialize(kg.edges().distinct(), "edges")
     up = kg.property_closure().where("sub <> sup") if "property_hierarchy" in on else None
     inverse = kg.pairs("InverseObjectProperties") if "inverse" in on else None
+    both = None if inverse is None else inverse.union(inverse.select("q", "p")).toDF("p", "q")
     symmetric = kg.with_characteristic("SymmetricObjectProperty") if "symmetric" in on else []
     transitive = kg.with_characteristic("TransitiveObjectProperty") if "transitive" in on else []
-    chains = [x for x in kg.axioms if x[0] == "SubPropertyChainOf"] if "chain" in on else []
-    size = e.count()
-    for _ in range(rounds):
-        parts = [e]
+    chains = [(tuple(x[1]), x[2]) for x in kg.axioms if x[0] == "SubPropertyChainOf"] if "chain" in on else []
+    held = [known]  # tables that make up what is known
+    while True:
+        fresh = {r["p"] for r in new.select("p").distinct().collect()}  # as many as the vocabulary has
+        own = lambda t, prop: t.where(F.col("p") == prop).select("s", "o")
+        path = lambda x, y: x.withColumnRenamed("o", "_m").join(y.withColumnRenamed("s", "_m"), "_m").select("s", "o")
+        parts = []
         if up is not None:
-            parts.append(e.join(up.select(F.col("sub").alias("p"), "sup"), "p").select("s", F.col("sup").alias("p"), "o"))
-        if inverse is not None:
-            both = inverse.union(inverse.select("q", "p")).toDF("p", "q")
-            parts.append(e.join(both, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o")))
-        if symmetric:
-            parts.append(e.where(F.col("p").isin(symmetric)).select(F.col("o").alias("s"), "p", F.col("s").alias("o")))
-        for _, chain, sup in chains:
-            path = None
-            for prop in chain:
-                step = e.where(F.col("p") == prop).select("s", "o")
-                path = step if path is None else path.withColumnRenamed("o", "_m").join(step.withColumnRenamed("s", "_m"), "_m").select("s", "o")
-            parts.append(path.select("s", F.lit(sup).alias("p"), "o"))
-        grown = _union(parts).distinct()
-        for prop in transitive:
-            c = closure(grown.where(F.col("p") == prop), "s", "o")
-            grown = grown.where(F.col("p") != prop).unionByName(c.select("s", F.lit(prop).alias("p"), "o"))
-        e = materialize(grown, "edges")
-        n = e.count()
-        if n == size:
+            parts.append(new.join(up.select(F.col("sub").alias("p"), "sup"), "p").select("s", F.col("sup").alias("p"), "o"))
+        if both is not None:
+            parts.append(new.join(both, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o")))
+        if fresh & set(symmetric):
+            parts.append(new.where(F.col("p").isin(symmetric)).select(F.col("o").alias("s"), "p", F.col("s").alias("o")))
+        for chain, sup in [*(((p, p), p) for p in transitive), *chains]:
+            if not fresh & set(chain):
+                continue
+            found = []
+            if len(chain) == 2 and sup in chain and chain[0] != chain[1]:
+                every = [own(known, p) if p == sup else closure(own(known, p), "s", "o") for p in chain]
+                found.append(path(*every))
+            else:
+                for i, prop in enumerate(chain):
+                    if prop in fresh:
+                        found.append(reduce(path, [own(new if i == j else known, p) for j, p in enumerate(chain)]))
+            parts += [x.select("s", F.lit(sup).alias("p"), "o") for x in found]
+        if not parts:
             break
-        size = n
+        step = materialize(_union(parts).distinct().join(known, ["s", "p", "o"], "left_anti"), "edges")
+        if step.isEmpty():
+            discard(step)
+            break
+        new = step
+        held.append(step)
+        if len(held) > 8:  # short plans, whatever the rounds
+            whole = materialize(_union(held), "edges")
+            for t in held[:-1]:
+                discard(t)
+            held = [whole]
+        known = _union(held)
+    e = known
     if "reflexive" in on:
         for prop in kg.with_characteristic("ReflexiveObjectProperty"):
             nodes = e.select("s").union(e.select("o")).union(kg.types().select("x")).toDF("x").distinct()
@@ -219,18 +239,18 @@ def rewrite(df: DataFrame, reps: DataFrame, column: str) -> DataFrame:
     return df.join(r, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
 
 
-def materialize_graph(kg, rules=None, rounds: int = 20):
+def materialize_graph(kg, rules=None):
     """The graph with all entailed triples about named individuals.
 
     Strata: property edges to a fixpoint, domain and range, then one join with the closed class
-    hierarchy. Equal individuals are replaced by representatives; only if that joins any, the strata
-    run again. ``rules`` switches rules on by name. Anonymous witnesses of existentials are not made.
+    hierarchy. Equal individuals are replaced by representatives; while that joins any, the strata
+    run again; every time there are fewer individuals, so this ends. ``rules`` switches rules on by name. Anonymous witnesses of existentials are not made.
     """
     from ontoweave.model import KnowledgeGraph
 
     on = set(RULES if rules is None else rules)
     now = kg
-    for _ in range(rounds):
+    while True:
         edges = property_edges(now, on)
         types = now.types().unionByName(domain_range_types(now, edges, on)).distinct()
         if "subclass" in on:
@@ -260,12 +280,16 @@ def materialize_graph(kg, rules=None, rounds: int = 20):
 
 # Consistency
 def clashes(kg, edges: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
-    """``(kind, subject, detail)``: every contradiction found; a consistent graph has none."""
-    edges = property_edges(kg) if edges is None else edges
+    """``(kind, subject, detail)``: every contradiction found; a consistent graph has none.
+
+    Class expressions in axioms are followed to the individuals they speak of (see ``abox.Told``).
+    """
+    from ontoweave.plans.abox import Told
+
+    told = Told(kg) if edges is None and types is None else None
+    edges = told.edges if told else property_edges(kg) if edges is None else edges
     if types is None:
-        types = inherited_types(kg).unionByName(domain_range_types(kg, edges))
-        up = types.join(kg.class_closure().select(F.col("sub").alias("cls"), "sup"), "cls").select("x", F.col("sup").alias("cls"))
-        types = types.unionByName(up).distinct()
+        types = told.types if told else inherited_types(kg).unionByName(domain_range_types(kg, edges)).distinct()
     row = lambda d, kind, subject, detail: d.select(F.lit(kind).alias("kind"), subject.alias("subject"), detail.alias("detail"))
     c = F.col
     parts = [row(disjoint_type_clashes(kg, types), "disjoint_types", c("x"), F.concat_ws(" ", "a", "b"))]
@@ -291,6 +315,8 @@ def clashes(kg, edges: DataFrame | None = None, types: DataFrame | None = None)
     for x in kg.axioms:
         if x[0] == "ObjectMaxCardinality" and len(x) >= 3:
             parts.append(row(cardinality_clashes(edges, different, x[2], x[1]), "max_cardinality", c("s"), F.concat_ws(" ", F.lit(x[2]), F.lit(str(x[1])))))
+    if told:
+        parts.append(told.clashes())
     p = kg.member_pairs("DisjointObjectProperties")
     l, r = edges.withColumnRenamed("p", "a"), edges.withColumnRenamed("p", "b")
     parts.append(row(p.join(l, "a").join(r, ["b", "s", "o"]), "disjoint_properties", c("s"), F.concat_ws(" ", "a", "b", "o")))
@@ -344,16 +370,60 @@ def role_counts(edges: DataFrame, prop: str | None = None) -> DataFrame:
 
 
 def cardinality_clashes(edges: DataFrame, different: DataFrame, prop: str, most: int) -> DataFrame:
-    """``(s)``: more than ``most`` successors that are pairwise known to be different.
+    """``(s)``: more than ``most`` successors that are pairwise known to be different; names need not be unique, so mere count is not enough."""
+    return with_apart(edges.where(F.col("p") == prop).select("s", "o"), different, most + 1)
+
+
+def with_apart(edges: DataFrame, different: DataFrame, least: int) -> DataFrame:
+    """``(s)``: subjects of ``(s, o)`` with ``least`` successors that are pairwise known to be different.
 
-    Names need not be unique, so mere count is not enough; a successor counts if it is different
-    from ``most`` others of the same subject.
+    Successors that differ from too few others are left out by joins; for the subjects that remain the
+    pairs are searched for a clique, a subject at a time.
     """
-    e = edges.where(F.col("p") == prop).select("s", "o").distinct()
+    e = edges.distinct()
+    if least <= 1:
+        return e.select("s").distinct()
     both = different.union(different.select("b", "a")).toDF("o", "other")
     other = e.withColumnRenamed("o", "other")
-    apart = e.join(both, "o").join(other, ["s", "other"]).groupBy("s", "o").agg(F.countDistinct("other").alias("n")).where(F.col("n") >= most)
-    return apart.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("s")
+    apart = e.join(both, "o").join(other, ["s", "other"]).select("s", "o", "other").distinct()
+    if least == 2:
+        return apart.select("s").distinct()
+    enough = apart.groupBy("s", "o").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least - 1).select("s", "o")
+    subjects = enough.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("s")
+    pairs = apart.join(enough, ["s", "o"], "left_semi").join(enough.withColumnRenamed("o", "other"), ["s", "other"], "left_semi").join(subjects, "s", "left_semi").where("o < other")
+
+    def search(key, rows):
+        near: dict[str, set[str]] = {}
+        for a, b in zip(rows["o"], rows["other"]):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        return rows.head(1)[["s"]] if has_clique(near, least) else rows.head(0)[["s"]]
+
+    return pairs.groupBy("s").applyInPandas(search, "s string")
+
+
+def has_clique(near: dict, size: int) -> bool:
+    """Whether ``size`` nodes are pairwise neighbours; exact, by branching on nodes with enough neighbours only."""
+
+    def prune(nodes, need):
+        while True:
+            kept = {v for v in nodes if len(near[v] & nodes) >= need - 1}
+            if kept == nodes:
+                return kept
+            nodes = kept
+
+    def grow(nodes, need):
+        if need <= 0:
+            return True
+        nodes = prune(nodes, need)
+        while len(nodes) >= need:
+            v = max(sorted(nodes), key=lambda x: len(near[x] & nodes))
+            if grow(near[v] & nodes, need - 1):
+                return True
+            nodes = prune(nodes - {v}, need)
+        return False
+
+    return grow(set(near), size)
 
 
 def is_consistent(kg) -> bool:
@@ -371,7 +441,7 @@ def would_be_consistent(kg, *axioms: tuple) -> bool:
     from ontoweave.model import KnowledgeGraph
 
     triples = kg.triples
-    new = [(x[2], T.TYPE, x[1], "iri", None, None) for x in axioms if x[0] == "ClassAssertion"]
+    new = [(x[2], T.TYPE, x[1], "iri", None, None) for x in axioms if x[0] == "ClassAssertion" and isinstance(x[1], str)]
     new += [(x[2], x[1], x[3], "iri", None, None) for x in axioms if x[0] == "ObjectPropertyAssertion"]
     if new:
         triples = triples.unionByName(kg.spark.createDataFrame(new, T.TRIPLE))

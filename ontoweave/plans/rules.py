@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,16 +68,16 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.select("*", F.coalesce("o_dt", F.lit("")).alias("_t"), F.coalesce("o_lang", F.lit("")).alias("_g"))
 
 
-def saturate(triples: DataFrame, rules=RULES, rounds: int = 1000) -> DataFrame:
+def saturate(triples: DataFrame, rules=RULES) -> DataFrame:
     """All triples that the rules derive, with those given.
 
     Each round a rule fires only on matches in which at least one pattern is met by a triple that the
-    round before added. The result is a set and does not depend on the order of the rules.
+    round before added; rounds go on until nothing is new. Rules make no new terms, so that ends. The
+    result is a set and does not depend on the order of the rules.
     """
     known = new = materialize(triples.distinct(), "facts")
-    for _ in range(rounds):
-        if new.isEmpty():
-            break
+    held = [known]  # tables that make up what is known; nothing is written twice, but for short plans now and then
+    while not new.isEmpty():
         found = None
         everything, fresh = Compiler(known), Compiler(new)
         for r in rules:
@@ -87,11 +88,15 @@ def saturate(triples: DataFrame, rules=RULES, rounds: int = 1000) -> DataFrame:
                         s = everything.join(s, everything.pattern(p))
                 one = _heads(r, s.df)
                 found = one if found is None else found.unionByName(one)
+        if found is None:
+            break
         step = _keyed(found).dropDuplicates([*_KEY, "_t", "_g"]).join(_keyed(known).select(*_KEY, "_t", "_g"), [*_KEY, "_t", "_g"], "left_anti")
-        step = materialize(step.select(*triples.columns), "facts-new")
-        grown = materialize(known.unionByName(step), "facts")
-        discard(known)
-        if new is not known:
-            discard(new)
-        known, new = grown, step
+        new = materialize(step.select(*triples.columns), "facts-new")
+        held.append(new)
+        if len(held) > 8:
+            whole = materialize(reduce(lambda a, b: a.unionByName(b), held), "facts")
+            for t in held[:-1]:
+                discard(t)
+            held = [whole]
+        known = reduce(lambda a, b: a.unionByName(b), held)
     return known

@@ -19,7 +19,7 @@ TOKEN = re.compile(
     |(?P<op>\^\^|&&|\|\||!=|<=|>=|[{}()\[\].;,=<>!*/|^+?-])""",
     re.VERBOSE | re.DOTALL,
 )
-AGGREGATES = ("COUNT", "SUM", "MIN", "MAX", "AVG", "SAMPLE")
+AGGREGATES = ("COUNT", "SUM", "MIN", "MAX", "AVG", "SAMPLE", "GROUP_CONCAT")
 
 
 class SparqlError(ValueError):
@@ -149,7 +149,8 @@ class Parser:
     def _aggregate(name: str, call: A.Call) -> tuple:
         distinct = bool(call.args) and call.args[0] == "DISTINCT"
         args = call.args[1:] if distinct else call.args
-        return name, call.name, args[0] if args else None, distinct
+        fn = f"GROUP_CONCAT:{args[1].term.value if len(args) > 1 else ' '}" if call.name == "GROUP_CONCAT" else call.name
+        return name, fn, args[0] if args else None, distinct
 
     def _lift(self, x, aggregates: list):
         """Aggregates inside HAVING become hidden columns."""
@@ -396,6 +397,9 @@ class Parser:
             while not self.accept(")"):
                 if self.accept("*"):
                     continue
+                if self.accept(";"):
+                    self.take("SEPARATOR")
+                    self.take("=")
                 args.append(self.expression())
                 self.accept(",")
             return A.Call(name, tuple(args))
