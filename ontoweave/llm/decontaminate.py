@@ -42,7 +42,7 @@ class _Codes(dict):
     """Codes of words with their flags, forgotten when there are many; 0 for tokens without letter or digit."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 1 << 16:
+        if len(self) > 1 << 17:
             self.clear()
         core = w.strip(STRIP)
         low = core.lower()
@@ -112,16 +112,21 @@ def _rolled(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def literals(words: list[str], at: np.ndarray) -> np.ndarray:
-    return np.fromiter((_LITERALS[words[i]] for i in at), dtype=np.uint64, count=len(at))
+    return np.fromiter(map(_LITERALS.__getitem__, (words[i] for i in at.tolist())), dtype=np.uint64, count=len(at))
+
+
+def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each hash in the filter, ``bits`` a power of two."""
+    return h & np.uint64(bits - 1), ((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(20)) & np.uint64(bits - 1)
 
 
 def window_hashes(codes: np.ndarray, slots: np.ndarray, words: list[str], at: np.ndarray, width: int) -> np.ndarray:
     """One hash per window of ``width`` codes; of the words themselves where fewer than half of them (rounded down) are not placeholders."""
     h = _rolled(codes, width)
     count = np.concatenate([[0], np.cumsum(slots == 0)])
-    bare = np.flatnonzero(count[width:] - count[:-width] < width // 2) if len(h) else []
-    for i in bare:
-        h[i] = _rolled(literals(words, at[i : i + width]) ^ np.uint64(1), width)[0]
+    bare = np.flatnonzero(count[width:] - count[:-width] < width // 2) if len(h) else ()
+    if len(bare):
+        h[bare] = _rolled(literals(words, at) ^ np.uint64(1), width)[bare]
     return h
 
 
@@ -133,8 +138,8 @@ class Decontamination:
     one alignment cover this share of the item's words, or this many words without a break.
     consistency: share of the aligned slots that must follow one mapping of values, one to one by
     kind of slot. least_item: items with fewer words leak only where all their words follow one
-    another as they are. filter_bits: most bits of the filter of benchmark windows that goes to the
-    executors; a larger benchmark lets more windows pass to the join, which decides.
+    another as they are. filter_bits: most bits, a power of two, of the filter of benchmark windows that
+    goes to the executors; a larger benchmark lets more windows pass to the join, which decides.
     """
 
     width: int = 5
@@ -191,13 +196,13 @@ def _items(benchmark: DataFrame, p: Decontamination, id_col: str, text_col: str)
 def _filter(items: DataFrame, p: Decontamination) -> tuple[np.ndarray, list[int]]:
     """A bitmap of all windows' hashes, at most ``filter_bits``, and the lengths of short items."""
     n, short = items.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)), F.collect_set(F.when(F.size("words") < p.least_item, F.size("words")))).first()
-    bits = min(p.filter_bits, 1 << max(16, (64 * n - 1).bit_length())) if n else 1 << 16
+    bits = min(p.filter_bits, 1 << max(16, (256 * n - 1).bit_length())) if n else 1 << 16
 
     def run(batches):
         out = np.zeros(bits // 8, dtype=np.uint8)
         for b in batches:
-            h = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(bits)
-            np.bitwise_or.at(out, (h >> np.uint64(3)).astype(np.int64), (1 << (h & np.uint64(7))).astype(np.uint8))
+            for h in _probes(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64), bits):
+                np.bitwise_or.at(out, (h >> np.uint64(3)).astype(np.int64), (1 << (h & np.uint64(7))).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
 
     whole = np.zeros(bits // 8, dtype=np.uint8)
@@ -213,11 +218,13 @@ def _windows(texts: DataFrame, seen_bits: np.ndarray, short: list[int], p: Decon
     """
     kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
     names = ["doc_id", "dkey", "h", "d", "start", "end", "words"]
-    size = np.uint64(len(seen_bits) * 8)
+    size = len(seen_bits) * 8
 
     def passing(h):
-        at = h % size
-        return np.flatnonzero((seen_bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+        one, two = _probes(h, size)
+        hits = np.flatnonzero((seen_bits[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8)) & 1)
+        at = two[hits]
+        return hits[((seen_bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
 
     def run(batches):
         known: dict[str, bool] = {}
