@@ -10,7 +10,9 @@ however the input is split. Range partitions of slots write files in which seque
 from __future__ import annotations
 
 import json
+import sys
 import uuid
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,12 +87,18 @@ def token_stream(docs: DataFrame, o: Order, path: str, id_col: str, text_col: st
     Every document is followed by ``END_ID``. Documents are sorted by doc_id, null last, then by a
     hash of the text; rows that agree in both are the same.
     """
-    kind = np.dtype(f"<u{o.width}")
+    code, end = {1: "B", 2: "H", 4: "I", 8: "Q"}[o.width], END_ID.to_bytes(o.width, "little")
+
+    def packed(ids: list[int]) -> bytes:
+        out = array(code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def encode(batches):
         e = encoder(path)
         for b in slices(batches):
-            ids = [np.array([*e.ids(t), END_ID], dtype=kind).tobytes() for t in b.column(3).to_pylist()]
+            ids = [packed(e.ids(t)) + end for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], ["lost", "doc_id", "h", "ids"])
 
     def join(batches):
