@@ -9,6 +9,7 @@ however the input is split. Range partitions of slots write files in which seque
 
 from __future__ import annotations
 
+import gc
 import json
 import sys
 import uuid
@@ -128,23 +129,26 @@ def token_stream(docs: DataFrame, o: Order, path: str, id_col: str, text_col: st
     sorted_ids = ids.repartitionByRange(ranges, "lost", "doc_id", "h").sortWithinPartitions("lost", "doc_id", "h")
     out = materialize(sorted_ids.mapInArrow(join, "part int, first long, n long, blob binary"), "token-table")
     discard(ids)
+    # The ids' shuffle files are of no more use; Spark deletes them once their plan is collected.
+    del sorted_ids
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
-def shards(docs: DataFrame, o: Order = Order(), tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", finished: frozenset[int] = frozenset()) -> tuple[DataFrame, int]:
-    """``(shard, first_slot, n_sequences, payload)`` with every shard's bytes but the finished ones', and the number of sequences.
+def shards(tokens: DataFrame, o: Order = Order(), finished: frozenset[int] = frozenset()) -> tuple[DataFrame, int]:
+    """``(shard, first_slot, n_sequences, payload)`` of a token stream, every shard's bytes but the finished ones', and the number of sequences.
 
     A null or empty text adds its ``END_ID`` alone; repeated rows are repeated text; other columns
     are ignored; an empty table gives no shards. An id that ``width`` bytes can't hold stops the job.
     Only the number of ids of each range comes to the driver. A shard is put together in one task.
     """
-    tokens = token_stream(docs, o, tokenizer_path or default_path(), id_col, text_col)
     counts = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     ids = sum(counts.values())
     total = -(-ids // o.length)
     schema = "shard long, first_slot long, n_sequences long, payload binary"
     if not total:
-        return docs.sparkSession.createDataFrame([], schema), 0
+        return tokens.sparkSession.createDataFrame([], schema), 0
     offset = dict(zip(sorted(counts), np.cumsum([0] + [counts[k] for k in sorted(counts)]).tolist()))
     n_shards, stride = -(-total // o.shard), o.length * o.width
 
@@ -211,7 +215,8 @@ def write_shards(docs: DataFrame, uri: str, o: Order = Order(), tokenizer_path:
     place.create_dir(folder, recursive=True)
     have = {x.base_name for x in place.get_file_info(fs.FileSelector(folder))}
     finished = frozenset(int(x[6:15]) for x in have if x.startswith("shard-") and x.endswith(".bin"))
-    made, total = shards(docs, o, tokenizer_path, id_col, text_col, finished)
+    tokens = token_stream(docs, o, tokenizer_path or default_path(), id_col, text_col)
+    made, total = shards(tokens, o, finished)
     says = {"key": o.key, "length": o.length, "shard": o.shard, "rounds": o.rounds, "width": o.width, "sequences": total}
     if "manifest.json" in have:
         with place.open_input_stream(f"{folder}/manifest.json") as f:
@@ -235,6 +240,7 @@ def write_shards(docs: DataFrame, uri: str, o: Order = Order(), tokenizer_path:
 
     spark = docs.sparkSession
     new = materialize(made.mapInArrow(write, "shard long, first_slot long, n_sequences long"), "shards")
+    discard(tokens)
     size = F.lit(o.shard).cast("long")
     old = spark.createDataFrame([(k,) for k in sorted(finished)], "shard long").select("shard", (F.col("shard") * size).alias("first_slot"), F.least(size, F.lit(total) - F.col("shard") * size).cast("long").alias("n_sequences"))
     return new.unionByName(old)
