@@ -12,6 +12,7 @@ from __future__ import annotations
 import gc
 import json
 import sys
+import time
 import uuid
 from array import array
 from dataclasses import dataclass
@@ -129,13 +130,17 @@ def token_stream(docs: DataFrame, o: Order, path: str, id_col: str, text_col: st
     sorted_ids = ids.repartitionByRange(ranges, "lost", "doc_id", "h").sortWithinPartitions("lost", "doc_id", "h")
     out = materialize(sorted_ids.mapInArrow(join, "part int, first long, n long, blob binary"), "token-table")
     discard(ids)
-    # The ids' shuffle files are of no more use; Spark deletes them once their plan is collected.
-    del sorted_ids
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
+def give_back(spark) -> None:
+    """Shuffle files of plans that are of no more use: Spark deletes them once both sides have collected the plans."""
+    for _ in range(2):  # Python's side is told to the driver's with a delay
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+
+
 def shards(tokens: DataFrame, o: Order = Order(), finished: frozenset[int] = frozenset()) -> tuple[DataFrame, int]:
     """``(shard, first_slot, n_sequences, payload)`` of a token stream, every shard's bytes but the finished ones', and the number of sequences.
 
@@ -216,6 +221,7 @@ def write_shards(docs: DataFrame, uri: str, o: Order = Order(), tokenizer_path:
     have = {x.base_name for x in place.get_file_info(fs.FileSelector(folder))}
     finished = frozenset(int(x[6:15]) for x in have if x.startswith("shard-") and x.endswith(".bin"))
     tokens = token_stream(docs, o, tokenizer_path or default_path(), id_col, text_col)
+    give_back(docs.sparkSession)
     made, total = shards(tokens, o, finished)
     says = {"key": o.key, "length": o.length, "shard": o.shard, "rounds": o.rounds, "width": o.width, "sequences": total}
     if "manifest.json" in have:
