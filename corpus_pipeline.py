@@ -49,7 +49,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicate", near_duplicate), ("decontaminate", decontaminate), ("secrets", secrets), ("packing", packing)]
 
-#: The stages hold a trained field, hashed models and a tokenizer, which SQL can't express; tests compare with brute force.
+#: The stages hold a trained field, hashed models and a tokenizer, which SQL can't express; tests compare each stage's operator with brute force.
 ORACLE_SQL = None
 
 
