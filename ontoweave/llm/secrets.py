@@ -9,7 +9,6 @@ outside in the best path, and the chain falls apart there exactly.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
