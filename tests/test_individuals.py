@@ -10,8 +10,6 @@ from ontoweave.functions import terms as T
 from ontoweave.model import KnowledgeGraph
 from ontoweave.plans import reason as R
 from ontoweave.plans.abox import Told
-from ontoweave.plans.rules import Rule, saturate
-from ontoweave.plans import rules
 
 
 def graph(spark, edges=(), types=(), literals=(), axioms=()):
