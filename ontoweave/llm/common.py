@@ -21,6 +21,24 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+#: Keys with more than one row in this many are hot; there are fewer of them than this.
+HOT = 256
+
+
+def by_key(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row per ``key`` and the number of its rows as ``copies``.
+
+    Rows of hot keys stay where they are: fewer than ``HOT`` keys have more than ``total / HOT`` of the
+    ``total`` rows, so their facts are broadcast. All others are joined by a shuffle in which no key is
+    large. A null key has no facts and is dropped, as in an inner join.
+    """
+    is_hot = F.col("copies") * HOT > total
+    hot = facts.where(is_hot)
+    few = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return few.unionByName(rest.join(facts.where(~is_hot), key)).drop("copies")
+
+
 def slices(batches, max_bytes: int = 4 << 20):
     """Record batches cut so that no slice holds much more text than ``max_bytes`` (one long text aside)."""
     for b in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.llm import simhash
-from ontoweave.llm.common import keyed_texts, slices
+from ontoweave.llm.common import by_key, keyed_texts, slices
 from ontoweave.plans.components import components
 from ontoweave.plans.storage import discard, materialize
 
@@ -358,7 +358,7 @@ def similar_documents(docs: DataFrame, p: Shingling = Shingling(), id_col: str =
     """
     texts = keyed_texts(docs, id_col, text_col)
     named = materialize(_named(texts, p), "similar-nodes")
-    least = materialize(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "similar-least")
+    least = materialize(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("copies")), "similar-least")
     n, size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
     # A word and its space take some six bytes.
     records = size / 6 * (1 - p.similarity) + n
@@ -374,5 +374,5 @@ def similar_documents(docs: DataFrame, p: Shingling = Shingling(), id_col: str =
     member = found.join(least, "node").select("node", "component", "least")
     smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = member.join(smallest, "component").select("node", "component_id")
-    whole = least.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return named.drop("fp").join(whole, "node").select("doc_id", "component_id")
+    whole = least.join(linked, "node", "left").select("node", "copies", F.coalesce("component_id", "least").alias("component_id"))
+    return by_key(named.drop("fp"), materialize(whole, "similar-components"), "node", n).select("doc_id", "component_id")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoweave.llm.common import keyed_texts, slices, table
+from ontoweave.llm.common import by_key, keyed_texts, slices, table
 from ontoweave.plans.components import components
 from ontoweave.plans.storage import materialize
 
@@ -168,14 +168,15 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "
 
     Fingerprints link at three or fewer differing bits; ``component_id`` is the smallest doc_id
     reachable through links, itself included. Exact copies share a fingerprint and are reduced to
-    one before variants are made, so a hot group of copies costs one fingerprint. Repeated doc_ids
-    give one row each; a null doc_id gets the smallest other doc_id of its component, or null. An
-    empty table gives no rows. Every part holds the variants of about ``fps_per_part`` fingerprints
+    one before variants are made, so a hot group of copies costs one fingerprint, and its rows get
+    their component without a shuffle (``common.by_key``). Repeated doc_ids give one row each; a null
+    doc_id gets the smallest other doc_id of its component, or null. An empty table gives no rows.
+    Every part holds the variants of about ``fps_per_part`` fingerprints
     (7 MB per thousand while sorted), whatever the input's size.
     """
     fps = materialize(fingerprints(docs, words_per_shingle, id_col, text_col), "fingerprints")
-    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    n = least.count()
+    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "distinct-fingerprints")
+    n, rows = least.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     parts = max(1, -(-n // fps_per_part), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")) if n > 1000 else 1)
     spread = least.select("fp").repartition(max(1, -(-n // 4096)))
     links = collide(emit_variants(spread, parts), parts)
@@ -183,8 +184,9 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "
     member = found.join(least, found["node"] == least["fp"]).select("node", "component", "least")
     smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = member.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
-    whole = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = least.join(linked, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id"))
+    whole = materialize(whole, "fingerprint-components")
+    return by_key(fps, whole, "fp", rows).select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

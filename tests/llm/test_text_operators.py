@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ontoweave.llm import chat, decontaminate, materialise, packing, quality, secrets, simhash, suffixes, tokens, warc
+from ontoweave.llm import chat, common, decontaminate, materialise, packing, quality, secrets, simhash, suffixes, tokens, warc
 
 LONG = "lorem ipsum dolor sit amet " * 8000
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -91,6 +91,17 @@ def test_simhash_awkward(awkward, nothing):
     assert sorted(r["fp"] & (1 << 64) - 1 for r in got) == sorted(slow_fingerprint(t) for _, t, *_ in AWKWARD)
 
 
+def test_rows_of_hot_keys_are_joined_without_a_shuffle(spark):
+    keys = [7] * 900 + [8] * 30 + [9] + list(range(100, 800))
+    rows = spark.createDataFrame(list(enumerate(keys)), "doc_id long, fp long").repartition(5)
+    facts = spark.createDataFrame([(k, n, -k) for k, n in Counter(keys).items()], "fp long, copies long, fact long")
+    for total in (len(keys), 1 << 40, 0):  # some, none and all hot
+        got = common.by_key(rows, facts, "fp", total)
+        assert sorted((r["doc_id"], r["fp"], r["fact"]) for r in got.collect()) == [(i, k, -k) for i, k in enumerate(keys)]
+        assert got.columns == ["fp", "doc_id", "fact"]
+    assert common.by_key(rows.limit(0), facts.limit(0), "fp", 0).collect() == []
+
+
 # Repeats
 def slow_repeats(docs, w):
     key = lambda i: float("inf") if i is None else i
