@@ -11,6 +11,14 @@ from functools import lru_cache
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts with longer unbroken runs go to the library whose merge has no quadratic case.
 LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
+#: Of such a run at least one block of this many characters, counted from the text's beginning, is a part.
+BLOCK = 500
+
+
+def has_long_run(text: str) -> bool:
+    """Whether ``LONG_RUN`` matches; it is only tried if a block has no blank between other characters."""
+    blocks = (text[i : i + BLOCK] for i in range(0, len(text) - BLOCK + 1, BLOCK))
+    return any(" " not in b or b.isspace() for b in blocks) and LONG_RUN.search(text) is not None
 
 
 def default_path() -> str:
@@ -47,7 +55,7 @@ class Encoder:
 
     def ids(self, text: str) -> list[int]:
         """Latin-1 texts take the fast way, whose character classes agree there; all others the library."""
-        if self._fast is not None and (len(text) < 1000 or not LONG_RUN.search(text)):
+        if self._fast is not None and not has_long_run(text):
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:

@@ -159,6 +159,15 @@ def test_ids_equal_the_librarys():
     assert e.ids("x" * 5000) == e._exact.encode("x" * 5000, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("c, other", ["x ", " x", "\nx", "x\t"])
+def test_long_runs_are_seen_wherever_they_begin(c, other):
+    for before in (0, 1, 250, 499, 500, 501, 999):
+        for size in (998, 999, 1000, 1001, 1499, 2500):
+            for text in ("ab " * before + c * size + other + " cd", (other + c) * before + other + c * size, c * size + other * 3):
+                assert tokens.has_long_run(text) == (tokens.LONG_RUN.search(text) is not None)
+    assert not tokens.has_long_run("") and not tokens.has_long_run("word " * 5000)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_uses_every_document_once_and_is_tight(seed):
     r = random.Random(seed)
