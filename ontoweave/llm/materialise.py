@@ -104,7 +104,7 @@ def token_stream(docs: DataFrame, o: Order, path: str, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], ["lost", "doc_id", "h", "ids"])
 
     def join(batches):
-        squeeze, part, first, held, size = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0, [], 0
+        squeeze, part, first, held, size = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
             nonlocal first
@@ -159,7 +159,7 @@ def shards(tokens: DataFrame, o: Order = Order(), finished: frozenset[int] = fro
 
     def deal(batches):
         """Each run's pieces of sequences, by shard: slots, first bytes in the sequence, bytes."""
-        squeeze, expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        squeeze, expand = zstandard.ZstdCompressor(level=2), zstandard.ZstdDecompressor()
         for b in batches:
             for part, first, n, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
                 body = np.frombuffer(expand.decompress(blob), dtype=np.uint8)
