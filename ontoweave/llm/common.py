@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,3 +60,9 @@ def slices(batches, max_bytes: int = 4 << 20):
             at = stop
 
 
+def give_back(spark) -> None:
+    """Shuffle files of plans that are of no more use: Spark deletes them once both sides have collected the plans."""
+    for _ in range(2):  # Python's side is told to the driver's with a delay
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()

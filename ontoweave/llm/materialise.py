@@ -9,10 +9,8 @@ however the input is split. Range partitions of slots write files in which seque
 
 from __future__ import annotations
 
-import gc
 import json
 import sys
-import time
 import uuid
 from array import array
 from dataclasses import dataclass
@@ -25,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoweave.llm.common import keyed_texts, slices, table
+from ontoweave.llm.common import give_back, keyed_texts, slices, table
 from ontoweave.llm.tokens import default_path, encoder
 from ontoweave.plans.storage import discard, materialize, shared_dir
 
@@ -133,14 +131,6 @@ def token_stream(docs: DataFrame, o: Order, path: str, id_col: str, text_col: st
     return out
 
 
-def give_back(spark) -> None:
-    """Shuffle files of plans that are of no more use: Spark deletes them once both sides have collected the plans."""
-    for _ in range(2):  # Python's side is told to the driver's with a delay
-        gc.collect()
-        time.sleep(0.5)
-        spark.sparkContext._jvm.System.gc()
-
-
 def shards(tokens: DataFrame, o: Order = Order(), finished: frozenset[int] = frozenset()) -> tuple[DataFrame, int]:
     """``(shard, first_slot, n_sequences, payload)`` of a token stream, every shard's bytes but the finished ones', and the number of sequences.
 

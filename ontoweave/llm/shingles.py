@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.llm import simhash
-from ontoweave.llm.common import by_key, keyed_texts, slices
+from ontoweave.llm.common import by_key, give_back, keyed_texts, slices
 from ontoweave.plans.components import components
 from ontoweave.plans.storage import discard, materialize
 
@@ -340,6 +340,7 @@ def links(live: DataFrame, first: DataFrame, whole: DataFrame, p: Shingling) ->
             discard(pairs)
         discard(now)
         discard(keys)
+        give_back(live.sparkSession)
         if last or not left:
             break
     discard(rows)
@@ -367,6 +368,7 @@ def similar_documents(docs: DataFrame, p: Shingling = Shingling(), id_col: str =
     first = ball_pairs(least.select("node", "fp"), p)
     need = live.select("node").union(first.select("u")).union(first.select("v")).distinct()
     whole = _texts_of(texts, least.join(need, "node", "left_semi"), p)
+    give_back(docs.sparkSession)
     joined = links(live, first, whole, p)
     found = components(joined)
     for t in (live, first, whole):
