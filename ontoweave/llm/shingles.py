@@ -3,8 +3,10 @@
 Every text gets a SimHash of its shingles; fingerprints within three bits meet by ball hashing, and
 the texts that meet are compared on all shingles. Similar texts can lie many bits apart, so what ball
 hashing can't reach is completed by prefix filtering, which misses no pair: shingles are ordered by
-how often a sample holds them, rare ones first, and two texts of similarity t share a shingle among
-the first n - ceil(t n) + 1 of each. Links become components.
+how many texts hold them, rare ones first, and two texts of similarity t share a shingle among the
+first n - ceil(t n) + 1 of each. All shingles are counted by an exchange of their hashes; those that
+one text has alone make no candidates. Candidates that connect are compared together in a task, or,
+if they are too many, by joins. Links become components.
 """
 
 from __future__ import annotations
@@ -27,29 +29,30 @@ from ontoweave.plans.storage import discard, materialize
 #: One shingle of a text's prefix: its hash, the text, the number of the text's shingles, its place among them.
 RECORD = np.dtype([("key", "<u8"), ("node", "<u8"), ("size", "<u4"), ("at", "<u4")])
 
+#: Shingles are counted by their upper 48 bits; the lower 16 of a packed record name the text, or, under this bit, say how many of a slice hold it.
+SEVERAL = 1 << 15
 
-#: Words of 64 bits in a text's bitmap of shingles.
-BITMAP = 16
+#: Texts that share a shingle are all paired up to so many; the candidates' graph has a chain of more.
+SMALL = 16
 
 
 @dataclass(frozen=True)
 class Shingling:
     """Parameters.
 
-    words: of a shingle. similarity: least Jaccard similarity of the sets of shingles. sample, common:
-    documents that are sampled for the order of shingles, and the most frequent shingles that are put
-    last. hot: sampled texts from which a shingle's records are spread over all parts. stars, few:
-    rounds in which a shingle's texts are compared with one of them only, at most and while more
-    pairs than ``few`` a record are left to compare. block: bytes of records that a part holds.
-    fps_per_part: fingerprints whose variants a part holds. All but the first two change the work, not
-    the result.
+    words: of a shingle. similarity: least Jaccard similarity of the sets of shingles. local: bytes of
+    shingles of connected candidates that one task compares; more are compared by joins. stars, few:
+    rounds of these joins in which a shingle's texts are compared with one of them only, at most and
+    while more pairs than ``few`` a record are left to compare. block: bytes of records that a part
+    holds. fps_per_part: fingerprints whose variants a part holds. All but the first two change the
+    work, not the result. sample, common: of no effect any more, all shingles are counted.
     """
 
     words: int = 5
     similarity: float = 0.8
     sample: int = 5_000
     common: int = 1 << 16
-    hot: int = 16
+    local: int = 8 << 20
     stars: int = 4
     few: int = 4
     block: int = 16 << 20
@@ -101,128 +104,248 @@ def _binary(column) -> list[bytes]:
     return pc.cast(column, pa.binary()).to_pylist()
 
 
-def common_shingles(texts: DataFrame, p: Shingling) -> tuple[np.ndarray, np.ndarray]:
-    """The sample's most frequent shingles, sorted, and how many sampled texts hold each."""
-    n = texts.count()
-    few = texts if n <= p.sample else texts.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * p.sample / n) + 1)
+def sliced(texts: DataFrame, p: Shingling) -> DataFrame:
+    """Slices of the rows: ``ids``, ``nodes`` and ``fps`` (SimHash of the shingles) of each row, and what is compared.
+
+    That is ``text``, each different text with a shingle's words once (fewer are alike only if equal),
+    joined and compressed, ``held``, their names, and ``ends``, where they end.
+    """
 
     def run(batches):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 32
         for b in slices(batches):
-            found = [shingle_set(words_of(t), p.words) for t in _binary(b.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+            own = _binary(b.column(1))
+            nodes, fps, first = np.empty(len(own), dtype=np.uint64), np.empty(len(own), dtype=np.uint64), {}
+            for i, t in enumerate(own):
+                w = words_of(t)
+                nodes[i], fps[i] = node_of(w), simhash.fingerprint(shingle_set(w, p.words))
+                if len(w) >= p.words:
+                    first.setdefault(int(nodes[i]), i)
+            held = list(first.values())
+            text, ends = b"".join(own[i] for i in held), np.cumsum([len(own[i]) for i in held], dtype=np.int64)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            ids = pa.concat_arrays([b.column(0)])
+            lists = [one(ids), one(pa.array(nodes.view(np.int64))), one(pa.array(fps.view(np.int64)))]
+            blobs = [nodes[held].tobytes(), ends.tobytes(), pa.compress(text, codec="zstd", asbytes=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([at]), *lists, *(pa.array([x], pa.binary()) for x in blobs)], ["slice", "ids", "nodes", "fps", "held", "ends", "text"])
+            at += 1
+
+    return texts.mapInArrow(run, "slice long, ids array<long>, nodes array<long>, fps array<long>, held binary, ends binary, text binary")
+
+
+def _read_slice(held: bytes, ends: bytes, text: bytes, p: Shingling) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The slice's different texts and their shingles."""
+    stops = np.frombuffer(ends, dtype=np.int64).tolist()
+    whole = pa.decompress(text, decompressed_size=stops[-1], codec="zstd", asbytes=True)
+    return np.frombuffer(held, dtype=np.uint64), [shingle_set(words_of(whole[a:b]), p.words) for a, b in zip([0, *stops], stops)]
+
+
+def _packed(nodes: np.ndarray, sets: list[np.ndarray], parts: int):
+    """The slice's different shingles as packed records in the order of their parts, that order, the parts' counts, and each shingle's place before it."""
+    key, first, place, n = np.unique(np.concatenate(sets) >> np.uint64(16), return_index=True, return_inverse=True, return_counts=True)
+    owner = np.repeat(nodes, [len(x) for x in sets])[first] & np.uint64(SEVERAL - 1)
+    rec = key << np.uint64(16) | np.where(n > 1, np.minimum(n, SEVERAL - 1).astype(np.uint64) | np.uint64(SEVERAL), owner)
+    part = ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part.astype(np.uint16 if parts <= 65536 else np.uint32), kind="stable")
+    return rec[order], order, np.bincount(part.astype(np.int64), minlength=parts), place
+
+
+def frequencies(rec: np.ndarray) -> np.ndarray:
+    """For each packed record how frequent its shingle is, on a scale of eight steps a doubling; 0 only if one text has it and no copy of that is elsewhere."""
+    order = np.argsort(rec)
+    s = rec[order]
+    key, low = s >> np.uint64(16), (s & np.uint64(0xFFFF)).astype(np.int64)
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    other = np.ones(len(s), dtype=bool)
+    other[1:] = s[1:] != s[:-1]
+    several = low >= SEVERAL
+    head = np.flatnonzero(new)
+    n = np.add.reduceat(np.where(several, low - SEVERAL, other), head)
+    scale = 1 + np.minimum(254, 8 * np.log2(n)).astype(np.uint8)
+    alone = np.diff(np.append(head, len(s))) == 1
+    scale[alone & ~several[head]] = 0
+    out = np.empty(len(s), dtype=np.uint8)
+    out[order] = np.repeat(scale, np.diff(np.append(head, len(s))))
+    return out
 
-    counts = few.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = counts.orderBy(F.desc("n"), "key").limit(p.common).collect()
-    key, count = np.array([r["key"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
-    order = np.argsort(key)
-    return key[order], count[order]
 
+def counted(cut: DataFrame, parts: int, p: Shingling) -> DataFrame:
+    """``(slice, part, scale)``: the frequencies, over all slices, of each slice's shingles that fall into the part."""
 
-def prefix_of(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The shingles that any text as similar must share one of, in the common order."""
-    n = len(shingles)
-    key, count = common
-    often = np.zeros(n, dtype=np.int64)
-    if len(key):
-        at = np.minimum(np.searchsorted(key, shingles), len(key) - 1)
-        hit = key[at] == shingles
-        often[hit] = count[at[hit]]
-    rare_first = np.lexsort((shingles, often))
-    return shingles[rare_first[: n - math.ceil(similarity * n - 1e-9) + 1]]
+    def emit(batches):
+        for b in batches:
+            for at, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[0]:
+                    rec, _, n, _ = _packed(*_read_slice(*row, p), parts)
+                    ends, own = np.cumsum(n), np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.full(len(own), at)), pa.array([rec[ends[x] - n[x] : ends[x]].tobytes() for x in own], pa.binary())], ["part", "slice", "blob"])
 
+    def run(batches):
+        rows: dict[int, list[tuple[int, bytes]]] = {}
+        for b in batches:
+            for part, at, x in zip(*(c.to_pylist() for c in b.columns)):
+                rows.setdefault(part, []).append((at, x))
+        for part in list(rows):
+            own = rows.pop(part)
+            scale = frequencies(np.concatenate([np.frombuffer(x, dtype=np.uint64) for _, x in own]))
+            ends = np.cumsum([0, *(len(x) // 8 for _, x in own)])
+            blobs = [pa.compress(scale[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([at for at, _ in own]), pa.array([part] * len(own), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "part", "scale"])
 
-def emit_prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], parts: int, p: Shingling) -> DataFrame:
-    """``(part, blob)``: each different text's prefix records, packed, dealt by the shingle.
+    dealt = cut.select("slice", "held", "ends", "text").mapInArrow(emit, "part int, slice long, blob binary").repartitionById(parts, F.col("part"))
+    return dealt.mapInArrow(run, "slice long, part int, scale binary")
 
-    Records of shingles that are hot in the sample are dealt by text instead, over parts of their own
-    from ``parts`` on, so a shingle that a third of all texts hold is not gathered in one task.
-    """
-    hot, spread = common[0][common[1] >= p.hot], max(1, parts // 4)
 
-    def run(batches):
-        for b in slices(batches):
-            seen, pieces = set(), []
-            for t in _binary(b.column(1)):
-                words = words_of(t)
-                node = node_of(words)
-                if node in seen or len(words) < p.words:  # alike means equal
-                    continue
-                seen.add(node)
-                s = shingle_set(words, p.words)
-                key = prefix_of(s, common, p.similarity)
-                rec = np.empty(len(key), dtype=RECORD)
-                rec["key"], rec["node"], rec["size"], rec["at"] = key, node, len(s), np.arange(len(key))
-                pieces.append(rec)
-            if not pieces:
-                continue
-            rec = np.concatenate(pieces)
-            part = ((rec["key"] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(parts)
-            if len(hot):
-                at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, rec["key"]), len(hot) - 1)] == rec["key"])
-                part[at] = np.uint64(parts) + (((rec["key"][at] ^ rec["node"][at]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(spread)
-            order = np.argsort(part, kind="stable")
-            rec, counts = rec[order], np.bincount(part.astype(np.int64), minlength=parts + spread)
-            ends, own = np.cumsum(counts), np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([rec[ends[x] - counts[x] : ends[x]].tobytes() for x in own], pa.binary())], ["part", "blob"])
-
-    return texts.mapInArrow(run, "part int, blob binary")
+def prefix_of(shingles: np.ndarray, scale: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places, rare ones first, of those shingles that any text as similar must share one of, without those that no other text has."""
+    n = len(shingles)
+    rare_first = np.argsort(scale, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]
+    at = np.flatnonzero(scale[rare_first])
+    return rare_first[at], at
 
 
-def _live(rec: np.ndarray, similarity: float) -> np.ndarray:
-    """The records of shingles that two texts hold whose sizes allow the similarity."""
-    rec = rec[np.lexsort((rec["node"], rec["size"], rec["key"]))]
-    key, node = rec["key"], rec["node"]
-    new = np.ones(len(rec), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # a text that two tasks held
-    rec = rec[new]
-    # The next in size is the likeliest partner; two alone are held to the whole condition.
-    key, size, left = rec["key"], rec["size"].astype(np.float64), (rec["size"] - rec["at"]).astype(np.float64)
-    same = key[1:] == key[:-1]
-    possible = same & (size[:-1] >= similarity * size[1:] - 1e-6)
-    two = same.copy()
-    two[1:] &= ~same[:-1]
-    two[:-1] &= ~same[1:]
-    possible &= ~two | (np.minimum(left[1:], left[:-1]) >= similarity / (1 + similarity) * (size[1:] + size[:-1]) - 1e-6)
-    live = np.zeros(len(rec), dtype=bool)
-    live[1:] = possible
-    live[:-1] |= possible
-    return rec[live]
-
-
-def collide(prefixes: DataFrame, parts: int, p: Shingling) -> DataFrame:
-    """``(key, node, size, at)`` of the shingles that prefixes of two different texts hold whose sizes allow the similarity.
-
-    Hot shingles, in the parts from ``parts`` on, pass as they are; their texts may come twice.
-    """
+def candidates(cut: DataFrame, scales: DataFrame, parts: int, p: Shingling) -> DataFrame:
+    """``(node, size, keys, at, shingles)`` of every different text that shares a shingle of its prefix, or has copies."""
 
     def run(batches):
-        blobs: dict[int, list[bytes]] = {}
         for b in batches:
-            for part, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                blobs.setdefault(part, []).append(x)
-        for part in list(blobs):
-            rec = np.concatenate([np.frombuffer(x, dtype=RECORD) for x in blobs.pop(part)])
-            if part < parts:
-                rec = _live(rec, p.similarity)
-            for at in range(0, len(rec), 1 << 16):
-                r = rec[at : at + (1 << 16)]
-                cols = [np.ascontiguousarray(r["key"]).view(np.int64), np.ascontiguousarray(r["node"]).view(np.int64), r["size"].astype(np.int32), r["at"].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", "size", "at"])
+            for held, ends, text, own in zip(*(c.to_pylist() for c in b.columns)):
+                nodes, sets = _read_slice(held, ends, text, p)
+                _, order, n, place = _packed(nodes, sets, parts)
+                scale = np.empty(len(order), dtype=np.uint8)
+                blobs = [np.frombuffer(pa.decompress(x["scale"], decompressed_size=int(n[x["part"]]), codec="zstd", asbytes=True), dtype=np.uint8) for x in sorted(own, key=lambda x: x["part"])]
+                scale[order] = np.concatenate(blobs)
+                scale = scale[place]
+                rows, a = [], 0
+                for node, s in zip(nodes.view(np.int64).tolist(), sets):
+                    which, at = prefix_of(s, scale[a : a + len(s)], p.similarity)
+                    a += len(s)
+                    if len(at):
+                        rows.append((node, len(s), s[which].tobytes(), at.astype(np.uint32).tobytes(), s.tobytes()))
+                if rows:
+                    node, size, *blobs = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["node", "size", "keys", "at", "shingles"])
+
+    of = scales.groupBy("slice").agg(F.collect_list(F.struct("part", "scale")).alias("scales"))
+    both = cut.select("slice", "held", "ends", "text").join(of, "slice").select("held", "ends", "text", "scales")
+    return both.mapInArrow(run, "node long, size int, keys binary, at binary, shingles binary").dropDuplicates(["node"])
+
+
+def _records(batches):
+    """The batches' prefix records, 2^20 or few more at a time."""
+    pieces, n = [], 0
+    for b in batches:
+        for node, size, keys, at in zip(*(c.to_pylist() for c in b.columns)):
+            rec = np.empty(len(keys) // 8, dtype=RECORD)
+            rec["key"], rec["node"], rec["size"], rec["at"] = np.frombuffer(keys, np.uint64), np.int64(node).astype(np.uint64), size, np.frombuffer(at, np.uint32)
+            pieces.append(rec)
+            n += len(rec)
+            if n >= 1 << 20:
+                yield np.concatenate(pieces)
+                pieces, n = [], 0
+    if pieces:
+        yield np.concatenate(pieces)
+
+
+def chained(rec: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of texts, one a row, that connect what sharing a shingle and sizes that allow the similarity connect.
+
+    Up to ``SMALL`` texts of a shingle are all paired if they may be alike; more are chained by size, which
+    connects all whose sizes allow it and so, at least, all that are alike.
+    """
+    rec = rec[np.lexsort((rec["node"], rec["size"], rec["key"]))]
+    key, node, size, left = rec["key"], rec["node"].view(np.int64) if len(rec) else rec["node"].astype(np.int64), rec["size"].astype(np.float64), (rec["size"] - rec["at"]).astype(np.float64)
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(rec) else np.empty(0, dtype=np.int64)
+    few = np.repeat(np.diff(np.append(head, len(rec))) <= SMALL, np.diff(np.append(head, len(rec))))
+    pairs = []
+    for d in range(1, SMALL):
+        a = np.flatnonzero(key[d:] == key[:-d])
+        if d > 1:
+            a = a[few[a]]
+        if not len(a):
+            break
+        b = a + d
+        ok = size[a] >= similarity * size[b] - 1e-6
+        ok &= ~few[a] | (np.minimum(left[a], left[b]) >= similarity / (1 + similarity) * (size[a] + size[b]) - 1e-6)
+        pairs.append(np.stack([np.minimum(node[a[ok]], node[b[ok]]), np.maximum(node[a[ok]], node[b[ok]])], axis=1))
+    return np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), dtype=np.int64)
 
-    return prefixes.repartitionById(parts + max(1, parts // 4), F.col("part")).mapInArrow(run, "key long, node long, size int, at int")
 
+def may_connect(found: DataFrame, parts: int, p: Shingling) -> DataFrame:
+    """Edges ``(u, v)`` of a graph in which all texts that are alike are connected; few others are."""
 
-def _named(texts: DataFrame, p: Shingling) -> DataFrame:
-    """``(doc_id, node, fp)``: the text's name and the SimHash of its shingles."""
+    def emit(batches):
+        for rec in _records(batches):
+            part = ((rec["key"] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            rec, n = rec[order], np.bincount(part.astype(np.int64), minlength=parts)
+            ends, own = np.cumsum(n), np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([rec[ends[x] - n[x] : ends[x]].tobytes() for x in own], pa.binary())], ["part", "blob"])
 
     def run(batches):
-        for b in slices(batches):
-            words = [words_of(t) for t in _binary(b.column(1))]
-            nodes = np.array([node_of(w) for w in words], dtype=np.uint64)
-            fps = np.array([simhash.fingerprint(shingle_set(w, p.words)) for w in words], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64))], ["doc_id", "node", "fp"])
+        blobs = [x for b in batches for x in b.column(1).to_pylist()]
+        if blobs:
+            pairs = chained(np.concatenate([np.frombuffer(x, dtype=RECORD) for x in blobs]), p.similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["u", "v"])
+
+    return found.select("node", "size", "keys", "at").mapInArrow(emit, "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(run, "u long, v long")
+
+
+def linked(nodes: list[int], keys: list[np.ndarray], at: list[np.ndarray], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span all that alike texts connect. A text is compared with those that share a shingle of its prefix and are not yet reached."""
+    n = len(nodes)
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), [len(k) for k in keys])
+    key, left = np.concatenate(keys), np.concatenate([len(s) - a.astype(np.int64) for s, a in zip(sets, at)])
+    order = np.argsort(key, kind="stable")
+    owner, left, key = owner[order], left[order], key[order]
+    fresh, out = np.ones(n, dtype=bool), []
+    for start in range(n):
+        reached = [start] if fresh[start] else []
+        fresh[start] = False
+        while reached and fresh.any():
+            x = reached.pop()
+            lo, hi = np.searchsorted(key, keys[x]), np.searchsorted(key, keys[x], side="right")
+            near = [np.empty(0, dtype=np.int64)]
+            for a, b, mine in zip(lo.tolist(), hi.tolist(), (size[x] - at[x].astype(np.int64)).tolist()):
+                y = owner[a:b]
+                near.append(y[fresh[y] & (np.minimum(left[a:b], mine) >= similarity / (1 + similarity) * (size[y] + size[x]) - 1e-6)])
+            near = np.unique(np.concatenate(near))
+            near = near[np.minimum(size[near], size[x]) >= similarity * np.maximum(size[near], size[x]) - 1e-6]
+            for y in near.tolist():
+                if alike(sets[x], sets[y], similarity):
+                    fresh[y] = False
+                    reached.append(y)
+                    out.append((nodes[x], nodes[y]))
+    return out
+
 
-    return texts.mapInArrow(run, "doc_id long, node long, fp long")
+def local_links(members: DataFrame, parts: int, p: Shingling) -> DataFrame:
+    """Links ``(u, v)`` that span the classes of alike texts within each ``component``; a task compares a component."""
+
+    def run(batches):
+        def solved(rows):
+            node, keys, at, sets = zip(*rows)
+            of = lambda x, kind: [np.frombuffer(y, dtype=kind) for y in x]
+            pairs = linked(list(node), of(keys, np.uint64), of(at, np.uint32), of(sets, np.uint64), p.similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+        last, rows = None, []
+        for b in batches:
+            for component, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if component != last and rows:
+                    yield solved(rows)
+                    rows = []
+                last = component
+                rows.append(row)
+        if rows:
+            yield solved(rows)
+
+    dealt = members.select("component", "node", "keys", "at", "shingles").repartition(parts, "component").sortWithinPartitions("component")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def ball_pairs(nodes: DataFrame, p: Shingling) -> DataFrame:
@@ -240,82 +363,46 @@ def ball_pairs(nodes: DataFrame, p: Shingling) -> DataFrame:
     return out
 
 
-def _texts_of(texts: DataFrame, need: DataFrame, p: Shingling) -> DataFrame:
-    """``(node, text, b0 ...)`` for every needed node, from the row with its least doc_id, with the bitmap of its shingles."""
-    names = [f"b{i}" for i in range(BITMAP)]
-
-    def run(batches):
-        for b in slices(batches):
-            words = [words_of(t) for t in _binary(b.column(1))]
-            nodes = np.array([node_of(w) for w in words], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes.view(np.int64)), b.column(1)], ["doc_id", "node", "text"])
-
-    def mark(batches):
-        for b in slices(batches):
-            bits = np.zeros((b.num_rows, BITMAP * 64), dtype=bool)
-            for i, t in enumerate(_binary(b.column(1))):
-                bits[i, (shingle_set(words_of(t), p.words) >> np.uint64(54)).astype(np.int64)] = True
-            packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(BITMAP))], ["node", "text", *names])
-
-    t, n = texts.mapInArrow(run, "doc_id long, node long, text string").alias("t"), need.alias("n")
-    own = t.join(n, (F.col("t.node") == F.col("n.node")) & F.col("t.doc_id").eqNullSafe(F.col("n.least")), "left_semi")
-    one = own.dropDuplicates(["node"]).select("node", "text")
-    return materialize(one.mapInArrow(mark, "node long, text string, " + ", ".join(f"{c} long" for c in names)), "similar-texts")
-
-
 def _possible(a: str, b: str, p: Shingling):
-    """The sizes, the shingles left behind the shared one and the bitmaps allow the similarity."""
+    """The sizes and the shingles left behind the shared one allow the similarity."""
     a_size, b_size = F.col(f"{a}.size"), F.col(f"{b}.size")
-    least = F.lit(p.similarity / (1 + p.similarity)) * (a_size + b_size) - 1e-6
     left = F.least(a_size - F.col(f"{a}.at"), b_size - F.col(f"{b}.at"))
-    # A bit that only one side has stands for a shingle, or more, that only it has.
-    only = lambda x, y: sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.b{i}")))) for i in range(BITMAP)), F.lit(0))
-    both = F.least(a_size - only(a, b), b_size - only(b, a))
     # Shingles before the shared one may be shared too, but then the texts meet in the first of these.
-    return (F.least(a_size, b_size) >= F.lit(p.similarity) * F.greatest(a_size, b_size) - 1e-6) & (left >= least) & (both >= least)
+    return (F.least(a_size, b_size) >= F.lit(p.similarity) * F.greatest(a_size, b_size) - 1e-6) & (left >= F.lit(p.similarity / (1 + p.similarity)) * (a_size + b_size) - 1e-6)
 
 
-def _verified(pairs: DataFrame, whole: DataFrame, p: Shingling) -> DataFrame:
+def _verified(pairs: DataFrame, found: DataFrame, p: Shingling) -> DataFrame:
     """The pairs ``(u, v)`` of texts that are alike."""
-    u, v = whole.select(F.col("node").alias("u"), F.col("text").alias("a")), whole.select(F.col("node").alias("v"), F.col("text").alias("b"))
+    u, v = found.select(F.col("node").alias("u"), F.col("shingles").alias("a")), found.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
 
     def run(batches):
-        last: dict[int, np.ndarray] = {}
-        held = 0
-
-        def shingles(node, text):
-            nonlocal held
-            if node not in last:
-                if held > 4 << 20:  # 32 MB of hashes
-                    last.clear()
-                    held = 0
-                last[node] = shingle_set(words_of(text), p.words)
-                held += len(last[node])
-            return last[node]
-
         for b in slices(batches):
-            us, vs, a, t = b.column(0).to_pylist(), b.column(1).to_pylist(), _binary(b.column(2)), _binary(b.column(3))
-            ok = [alike(shingles(us[i], a[i]), shingles(vs[i], t[i]), p.similarity) for i in range(len(us))]
+            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), p.similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return materialize(pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar-links")
 
 
-def links(live: DataFrame, first: DataFrame, whole: DataFrame, p: Shingling) -> DataFrame:
+def links(members: DataFrame, found: DataFrame, p: Shingling) -> DataFrame:
     """Pairs ``(u, v)`` of alike texts that connect all that alike texts connect.
 
-    The pairs of ball hashing come first. Then every shingle's texts are compared with one of them, of
-    the largest component there, another one each round, which links large groups of near copies by
-    as many pairs as texts. At last all pairs that share a shingle and are still in different
-    components are compared, so no link between components is missed.
+    This is for members of components too large for a task; ``found`` are links that are known. First
+    every shingle's texts are compared with one of them, of the largest component there, another one
+    each round, which links large groups of near copies by as many pairs as texts. At last all pairs
+    that share a shingle and are still in different components are compared, so no link between
+    components is missed.
     """
-    bits = [f"b{i}" for i in range(BITMAP)]
-    rows = materialize(live.dropDuplicates(["key", "node"]).join(whole.select("node", *bits), "node").select("key", "node", "size", "at", *bits), "similar-rows")
+
+    def spread(batches):
+        for rec in _records(batches):
+            cols = [rec["key"].astype(np.int64), rec["node"].astype(np.int64), rec["size"].astype(np.int32), rec["at"].astype(np.int32)]
+            for at in range(0, len(rec), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in cols], ["key", "node", "size", "at"])
+
+    rows = materialize(members.select("node", "size", "keys", "at").mapInArrow(spread, "key long, node long, size int, at int"), "similar-rows")
     total = rows.count()
     met = rows.groupBy("node").agg(F.count(F.lit(1)).alias("met"))
-    found = _verified(first, whole, p)
-    fields = ["node", "size", "at", *bits]
+    fields = ["node", "size", "at"]
     for r in range(p.stars + 1):
         group = components(found).withColumnRenamed("component", "g")
         now = rows.join(group, "node", "left").withColumn("c", F.coalesce("g", "node")).drop("g")
@@ -336,11 +423,11 @@ def links(live: DataFrame, first: DataFrame, whole: DataFrame, p: Shingling) ->
             way = F.col("a.node") < F.col("b.node") if last else F.col("a.node") != F.col("b.node")
             met_in = a.join(b, F.col("a.key") == F.col("b.key")).where(way & (F.col("a.c") != F.col("b.c")) & _possible("a", "b", p))
             pairs = materialize(met_in.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), "similar-pairs")
-            found = found.union(_verified(pairs, whole, p))
+            found = found.union(_verified(pairs, members, p))
             discard(pairs)
         discard(now)
         discard(keys)
-        give_back(live.sparkSession)
+        give_back(members.sparkSession)
         if last or not left:
             break
     discard(rows)
@@ -357,24 +444,39 @@ def similar_documents(docs: DataFrame, p: Shingling = Shingling(), id_col: str =
     without doc_id gets the smallest other doc_id of its component, or null; an empty table gives no
     rows. Shingles of one text are held in a task, 8 bytes a word.
     """
-    texts = keyed_texts(docs, id_col, text_col)
-    named = materialize(_named(texts, p), "similar-nodes")
+    spark, texts = docs.sparkSession, keyed_texts(docs, id_col, text_col)
+    cut = materialize(sliced(texts, p), "similar-slices")
+    named = materialize(cut.select(F.inline(F.arrays_zip("ids", "nodes", "fps"))).toDF("doc_id", "node", "fp"), "similar-nodes")
     least = materialize(named.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("copies")), "similar-least")
     n, size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
-    # A word and its space take some six bytes.
-    records = size / 6 * (1 - p.similarity) + n
-    parts = max(1, math.ceil(records * RECORD.itemsize / p.block), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if n > 1000 else 1)
-    live = materialize(collide(emit_prefixes(texts, common_shingles(texts, p), parts, p), parts, p), "similar-live")
+    enough = int(spark.conf.get("spark.sql.shuffle.partitions")) if n > 1000 else 1
     first = ball_pairs(least.select("node", "fp"), p)
-    need = live.select("node").union(first.select("u")).union(first.select("v")).distinct()
-    whole = _texts_of(texts, least.join(need, "node", "left_semi"), p)
-    give_back(docs.sparkSession)
-    joined = links(live, first, whole, p)
-    found = components(joined)
-    for t in (live, first, whole):
+    give_back(spark)
+    # A word and its space take some six bytes.
+    parts = max(enough, math.ceil(size / 6 * 8 / p.block))
+    scales = materialize(counted(cut, parts, p), "similar-scales")
+    give_back(spark)
+    found = materialize(candidates(cut, scales, parts, p), "similar-candidates")
+    discard(cut)
+    discard(scales)
+    give_back(spark)
+    total = found.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * 8
+    parts = max(enough, math.ceil(total / p.block))
+    near = components(may_connect(found, parts, p))
+    group = materialize(near.join(found.select("node", "size"), "node"), "similar-groups")
+    too_large = F.sum(F.col("size").cast("long") * 8) > p.local
+    sized = materialize(group.groupBy("component").agg(too_large.alias("large")), "similar-sizes")
+    members = found.join(group.join(sized, "component").select("node", "component", "large"), "node")
+    joined = _verified(first, found, p).union(materialize(local_links(members.where("not large"), parts, p), "similar-local"))
+    if not sized.where("large").isEmpty():
+        large = materialize(members.where("large"), "similar-large")
+        joined = links(large, joined, p)
+        discard(large)
+    linked_by = components(joined)
+    for t in (first, found, group, sized):
         discard(t)
-    member = found.join(least, "node").select("node", "component", "least")
+    member = linked_by.join(least, "node").select("node", "component", "least")
     smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = member.join(smallest, "component").select("node", "component_id")
-    whole = least.join(linked, "node", "left").select("node", "copies", F.coalesce("component_id", "least").alias("component_id"))
+    classed = member.join(smallest, "component").select("node", "component_id")
+    whole = least.join(classed, "node", "left").select("node", "copies", F.coalesce("component_id", "least").alias("component_id"))
     return by_key(named.drop("fp"), materialize(whole, "similar-components"), "node", n).select("doc_id", "component_id")
