@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,46 @@ def slices(batches, max_bytes: int = 4 << 20):
             at = stop
 
 
+#: What a worker keeps between tasks, by the module whose tasks use it: functions that drop it.
+KEPT: dict[str, list[Callable[[], None]]] = {}
+
+
+def kept(of: str, *drops: Callable[[], None]) -> None:
+    KEPT.setdefault(of, []).extend(drops)
+
+
+def drop_others(of: str) -> None:
+    """Drop what tasks of other modules have left in this worker."""
+    for module, drops in KEPT.items():
+        if module != of:
+            for drop in drops:
+                drop()
+
+
+def trim() -> None:
+    """Give the system back what is free but held by the allocators of Arrow and C."""
+    pa.default_memory_pool().release_unused()
+    if malloc_trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only glibc has it
+        malloc_trim(0)
+
+
+def frugal(run):
+    """``run`` for mapInArrow, whose worker holds nothing of other operators and after a task only its own caches.
+
+    Spark uses its Python workers again and again, so what every operator leaves in each of them adds up.
+    """
+    of = run.__module__
+
+    def own(batches):
+        drop_others(of)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return own
+
+
 def give_back(spark) -> None:
     """Shuffle files of plans that are of no more use: Spark deletes them once both sides have collected the plans."""
     for _ in range(2):  # Python's side is told to the driver's with a delay

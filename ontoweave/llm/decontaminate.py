@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoweave.llm.common import keyed_texts, slices, table
+from ontoweave.llm.common import frugal, kept, keyed_texts, slices, table
 from ontoweave.plans.storage import discard, materialize
 
 # The words that count as numbers and as units.
@@ -99,6 +99,7 @@ class _Literals(dict):
 
 
 _LITERALS = _Literals()
+kept(__name__, _CODES.clear, _LITERALS.clear)
 
 
 def _rolled(codes: np.ndarray, width: int) -> np.ndarray:
@@ -189,7 +190,7 @@ def _items(benchmark: DataFrame, p: Decontamination, id_col: str, text_col: str)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    made = rows.mapInArrow(run, "item_id long, ckey long, words array<string>, slots array<int>, hashes array<long>, pos array<int>")
+    made = rows.mapInArrow(frugal(run), "item_id long, ckey long, words array<string>, slots array<int>, hashes array<long>, pos array<int>")
     return materialize(made, "items")
 
 
@@ -206,7 +207,7 @@ def _filter(items: DataFrame, p: Decontamination) -> tuple[np.ndarray, list[int]
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
 
     whole = np.zeros(bits // 8, dtype=np.uint8)
-    for r in items.select("hashes").mapInArrow(run, "bits binary").toLocalIterator():  # one task's bitmap at a time
+    for r in items.select("hashes").mapInArrow(frugal(run), "bits binary").toLocalIterator():  # one task's bitmap at a time
         whole |= np.frombuffer(r["bits"], dtype=np.uint8)
     return whole, sorted(short)
 
@@ -254,7 +255,7 @@ def _windows(texts: DataFrame, seen_bits: np.ndarray, short: list[int], p: Decon
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    made = texts.mapInArrow(run, "doc_id long, dkey string, h array<long>, d array<int>, start array<int>, end array<int>, words array<string>")
+    made = texts.mapInArrow(frugal(run), "doc_id long, dkey string, h array<long>, d array<int>, start array<int>, end array<int>, words array<string>")
     return materialize(made, "windows")
 
 
@@ -368,7 +369,7 @@ def _passages(met: DataFrame, p: Decontamination) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return met.mapInArrow(run, PASSAGE)
+    return met.mapInArrow(frugal(run), PASSAGE)
 
 
 def _judged(passages: DataFrame, p: Decontamination) -> DataFrame:
@@ -388,7 +389,7 @@ def _judged(passages: DataFrame, p: Decontamination) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return passages.mapInArrow(run, "dkey string, item_id long, coverage double, longest_run long, n_slots long, n_consistent long, verbatim boolean, start long, end long")
+    return passages.mapInArrow(frugal(run), "dkey string, item_id long, coverage double, longest_run long, n_slots long, n_consistent long, verbatim boolean, start long, end long")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, p: Decontamination, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -403,12 +404,15 @@ def _found(docs: DataFrame, benchmark: DataFrame, p: Decontamination, id_col: st
     about = templates.select("ckey", F.size("words").alias("size"), "slots")
     met = mine.join(theirs, "h").join(about, "ckey")
     met = met.select("dkey", "ckey", "d", "pos", "start", "end", "words", "size", "slots").repartition("dkey", "ckey").sortWithinPartitions("dkey", "ckey", "d", "pos")
-    passages = _passages(met, p).join(items.select("item_id", "ckey", F.col("words").alias("item_words"), F.col("slots").alias("item_slots")), "ckey")
+    # Both sides of the join run Python; written in between, a task needs one worker at a time.
+    covered = materialize(_passages(met, p), "passages")
+    passages = covered.join(items.select("item_id", "ckey", F.col("words").alias("item_words"), F.col("slots").alias("item_slots")), "ckey")
     judged = _judged(passages.select("dkey", "item_id", "coverage", "longest_run", "pos", "value", "start", "end", "item_words", "item_slots"), p)
     order = [F.col("coverage"), F.col("longest_run"), F.col("verbatim"), (-F.col("start")).alias("m"), F.col("end"), F.col("n_slots"), F.col("n_consistent")]
     best = judged.groupBy("dkey", "item_id").agg(F.max(F.struct(*order)).alias("x"))
     leaks = best.select("dkey", "item_id", "x.coverage", "x.longest_run", "x.n_slots", "x.n_consistent", "x.verbatim", (-F.col("x.m")).alias("start"), "x.end")
     leaks = materialize(leaks, "leaks")
+    discard(covered)
     discard(items)
     return windows, leaks
 

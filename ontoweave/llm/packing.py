@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontoweave.llm.common import keyed_texts, slices, table
+from ontoweave.llm.common import frugal, kept, keyed_texts, slices, table
 from ontoweave.llm.tokens import default_path, encoder
 from ontoweave.plans.storage import materialize
 
 END_ID = 0
+kept(__name__, encoder.cache_clear)
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -39,7 +40,7 @@ def pieces(docs: DataFrame, size: int, path: str, id_col: str = "doc_id", text_c
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
@@ -141,7 +142,7 @@ def pack(docs: DataFrame, size: int = 2048, tokenizer_path: str | None = None, i
             sequence, offset = row[:, 2] + past // row[:, 3], row[:, 4] + past % row[:, 3] * length
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns[:5]), pa.array(sequence), pa.array(offset)], columns)
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ontoweave.llm.common import slices, table
+from ontoweave.llm.common import frugal, kept, slices, table
 from ontoweave.plans.storage import discard, materialize
 
 #: Letters of a word's beginning that stand for all its forms.
@@ -78,6 +78,7 @@ class _Hashes(dict):
 
 
 _HASHES, _STEMS = _Hashes(), _Stems()
+kept(__name__, _HASHES.clear, _STEMS.clear)
 
 
 def grams(text: str, buckets: int, orders: tuple[int, ...]) -> np.ndarray:
@@ -141,7 +142,7 @@ def count_grams(docs: DataFrame, good: np.ndarray, p: Resampling, id_col: str, t
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], ["chunk", "raw", "target", "n"])
 
     schema = "chunk int, raw binary, target binary, n long"
-    sums = texts.mapInArrow(run, schema).repartitionById(chunks, F.col("chunk")).mapInArrow(add, schema).collect()
+    sums = texts.mapInArrow(frugal(run), schema).repartitionById(chunks, F.col("chunk")).mapInArrow(frugal(add), schema).collect()
     raw, target = np.zeros(p.size, dtype=np.int64), np.zeros(p.size, dtype=np.int64)
     for r in sums:
         at = slice(r["chunk"] * CHUNK, (r["chunk"] + 1) * CHUNK)
@@ -177,7 +178,7 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     if k <= 0:
         return float("inf")
     bits = F.expr("CAST(key AS DOUBLE)")
-    wide = keys.select(bits.alias("key")).mapInArrow(_as_ordered, "o long")
+    wide = keys.select(bits.alias("key")).mapInArrow(frugal(_as_ordered), "o long")
     wide = materialize(wide, "ordered")
     prefix, want = None, k
     for shift in (48, 32, 16, 0):
@@ -231,7 +232,7 @@ def draw(docs: DataFrame, labels: DataFrame, p: Resampling = Resampling(), id_co
             yield pa.RecordBatch.from_arrays([*own, pa.array(w), pa.array(keys)], [str(i) for i in range(len(own) + 2)])
 
     out = StructType([*(rows.schema if whole else rows.schema[:1]), StructField(weight, DoubleType()), StructField(key, DoubleType())])
-    scores = materialize(rows.mapInArrow(run, out), "weights")
+    scores = materialize(rows.mapInArrow(frugal(run), out), "weights")
     kept = scores.where(F.col(key) >= kth_largest(scores.select(F.col(key).alias("key")), k))
     return kept.select(*docs.columns) if whole else kept.select("doc_id", F.col(weight).alias("log_weight"), F.col(key).alias("gumbel_key"))
 

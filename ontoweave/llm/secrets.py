@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoweave.llm.common import keyed_texts, slices, table
+from ontoweave.llm.common import frugal, keyed_texts, slices, table
 
 # The patterns of the base kinds and the least lengths of their matches.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -395,7 +395,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [scan(t, field) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([as_rows(x[0]) for x in found], kind), pa.array([as_rows(x[1]) for x in found], kind)], ["doc_id", "base", "spans"])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, f"doc_id long, base {SPANS}, spans {SPANS}")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(frugal(run), f"doc_id long, base {SPANS}, spans {SPANS}")
 
 
 def redact(text: str, spans, mask: str = "[SECRET]") -> str:
@@ -429,7 +429,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
                 cols[k] = pa.array([n if o == t else len(t) for n, o, t in zip(cols[k].to_pylist(), old, new)], b.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.llm import simhash
-from ontoweave.llm.common import by_key, give_back, keyed_texts, slices
+from ontoweave.llm.common import by_key, frugal, give_back, kept, keyed_texts, slices
 from ontoweave.plans.components import components
 from ontoweave.plans.storage import discard, materialize
 
@@ -70,6 +70,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+kept(__name__, _HASHES.clear)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -132,7 +133,7 @@ def sliced(texts: DataFrame, p: Shingling) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([at]), *lists, *(pa.array([x], pa.binary()) for x in blobs)], ["slice", "ids", "nodes", "fps", "held", "ends", "text"])
             at += 1
 
-    return texts.mapInArrow(run, "slice long, ids array<long>, nodes array<long>, fps array<long>, held binary, ends binary, text binary")
+    return texts.mapInArrow(frugal(run), "slice long, ids array<long>, nodes array<long>, fps array<long>, held binary, ends binary, text binary")
 
 
 def _read_slice(held: bytes, ends: bytes, text: bytes, p: Shingling) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -195,8 +196,8 @@ def counted(cut: DataFrame, parts: int, p: Shingling) -> DataFrame:
             blobs = [pa.compress(scale[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([pa.array([at for at, _ in own]), pa.array([part] * len(own), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "part", "scale"])
 
-    dealt = cut.select("slice", "held", "ends", "text").mapInArrow(emit, "part int, slice long, blob binary").repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(run, "slice long, part int, scale binary")
+    dealt = cut.select("slice", "held", "ends", "text").mapInArrow(frugal(emit), "part int, slice long, blob binary").repartitionById(parts, F.col("part"))
+    return dealt.mapInArrow(frugal(run), "slice long, part int, scale binary")
 
 
 def prefix_of(shingles: np.ndarray, scale: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +232,7 @@ def candidates(cut: DataFrame, scales: DataFrame, parts: int, p: Shingling) -> D
 
     of = scales.groupBy("slice").agg(F.collect_list(F.struct("part", "scale")).alias("scales"))
     both = cut.select("slice", "held", "ends", "text").join(of, "slice").select("held", "ends", "text", "scales")
-    return both.mapInArrow(run, "node long, size int, keys binary, at binary, shingles binary").dropDuplicates(["node"])
+    return both.mapInArrow(frugal(run), "node long, size int, keys binary, at binary, shingles binary").dropDuplicates(["node"])
 
 
 def _records(batches):
@@ -291,7 +292,7 @@ def may_connect(found: DataFrame, parts: int, p: Shingling) -> DataFrame:
             pairs = chained(np.concatenate([np.frombuffer(x, dtype=RECORD) for x in blobs]), p.similarity)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["u", "v"])
 
-    return found.select("node", "size", "keys", "at").mapInArrow(emit, "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(run, "u long, v long")
+    return found.select("node", "size", "keys", "at").mapInArrow(frugal(emit), "part int, blob binary").repartitionById(parts, F.col("part")).mapInArrow(frugal(run), "u long, v long")
 
 
 def linked(nodes: list[int], keys: list[np.ndarray], at: list[np.ndarray], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -345,7 +346,7 @@ def local_links(members: DataFrame, parts: int, p: Shingling) -> DataFrame:
             yield solved(rows)
 
     dealt = members.select("component", "node", "keys", "at", "shingles").repartition(parts, "component").sortWithinPartitions("component")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(frugal(run), "u long, v long")
 
 
 def ball_pairs(nodes: DataFrame, p: Shingling) -> DataFrame:
@@ -380,7 +381,7 @@ def _verified(pairs: DataFrame, found: DataFrame, p: Shingling) -> DataFrame:
             ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), p.similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return materialize(pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar-links")
+    return materialize(pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(frugal(run), "u long, v long"), "similar-links")
 
 
 def links(members: DataFrame, found: DataFrame, p: Shingling) -> DataFrame:
@@ -399,7 +400,7 @@ def links(members: DataFrame, found: DataFrame, p: Shingling) -> DataFrame:
             for at in range(0, len(rec), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in cols], ["key", "node", "size", "at"])
 
-    rows = materialize(members.select("node", "size", "keys", "at").mapInArrow(spread, "key long, node long, size int, at int"), "similar-rows")
+    rows = materialize(members.select("node", "size", "keys", "at").mapInArrow(frugal(spread), "key long, node long, size int, at int"), "similar-rows")
     total = rows.count()
     met = rows.groupBy("node").agg(F.count(F.lit(1)).alias("met"))
     fields = ["node", "size", "at"]

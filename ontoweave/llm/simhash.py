@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoweave.llm.common import by_key, keyed_texts, slices, table
+from ontoweave.llm.common import by_key, frugal, keyed_texts, slices, table
 from ontoweave.plans.components import components
 from ontoweave.plans.storage import materialize
 
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "doc
             out = [np.int64(simhash_bytes(t, words_per_shingle)) for t in pc.cast(b.column(1), pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 def simhash_bytes(text: bytes, k: int) -> np.int64:
@@ -119,7 +119,7 @@ def emit_variants(fps: DataFrame, parts: int) -> DataFrame:
                     [pa.array(own, pa.int32()), pa.array([rec[ends[p] - counts[p] : ends[p]].tobytes() for p in own], pa.binary())], ["part", "blob"]
                 )
 
-    return fps.select("fp").mapInArrow(run, "part int, blob binary")
+    return fps.select("fp").mapInArrow(frugal(run), "part int, blob binary")
 
 
 def collide(variants: DataFrame, parts: int, radius: int = 3) -> DataFrame:
@@ -160,7 +160,7 @@ def collide(variants: DataFrame, parts: int, radius: int = 3) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     dealt = variants.repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(frugal(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", fps_per_part: int = 12_000) -> DataFrame:
